@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sentencepieces, simhash, tokens
+from . import langid, mixing, quality, sentencepieces, simhash, suffixes, tokens
 from .common import table
 
 TOKEN_BUDGET = 1024
@@ -27,6 +27,11 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.over_budget(counts, TOKEN_BUDGET).select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
@@ -44,6 +49,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_quality, op4_tokens, op6_langid, op9_sentencepiece, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_quality, op4_tokens, op5_suffixes, op6_langid, op9_sentencepiece, op10_mixing)}
 
 ORACLES: dict[str, str] = {}

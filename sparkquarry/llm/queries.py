@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sentencepieces, simhash, suffixes, tokens
+from . import blocks, langid, licenses, mixing, quality, sentencepieces, simhash, suffixes, tokens, urls
 from .common import table
 
 TOKEN_BUDGET = 1024
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judge(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,6 +44,14 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), langid.held_out(F.col("id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("found")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sentencepieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
     return found.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", "round_trip")
@@ -49,6 +62,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_quality, op4_tokens, op5_suffixes, op6_langid, op9_sentencepiece, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_urls, op2_simhash, op3_quality, op4_tokens, op5_suffixes, op6_langid, op7_blocks, op8_licenses, op9_sentencepiece, op10_mixing)}
 
 ORACLES: dict[str, str] = {}

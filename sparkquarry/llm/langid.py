@@ -18,6 +18,8 @@ from .common import rows
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no"), "romance": ("fr", "es", "it", "pt", "ro", "ca"), "slavic": ("ru", "uk", "pl", "cs", "bg", "sr")}
 #: Rows of a language that the machines learn from, at most, and languages, at most.
 ROWS, LANGUAGES = 400, 60
+#: Parts of a language's rows that are ranked apart at first.
+SHARES = 32
 #: Hashed character n-grams of one, two and three letters.
 BUCKETS = 4096
 ROUNDS, RIDGE = 40, 1e-4
@@ -125,8 +127,11 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     What comes to the driver is one vector per row of that sample: its size is bounded by the parameters."""
     place = F.xxhash64(F.col(id_col).cast("string"))
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    # first within shares of a language, so that a common language is not one task's work, then among what they leave
+    shares = Window.partitionBy("lang", F.pmod("place", F.lit(SHARES))).orderBy("place", "id")
     first = Window.partitionBy("lang").orderBy("place", "id")
-    chosen = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), place.alias("place")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
+    rows_of = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), place.alias("place"))
+    chosen = rows_of.withColumn("k", F.row_number().over(shares)).where(F.col("k") <= most).withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
     common = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     sample = chosen.join(F.broadcast(common.select("lang")), "lang").select(F.col("id").alias("__id"), F.col("lang").alias("__lang"))
     texts = known.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))

@@ -109,11 +109,11 @@ def plain_shares(text):
 
 def test_quality_equals_brute_force(spark, docs):
     texts = {d.doc_id: d.text for d in docs}
-    found = queries.op3_quality(spark, SMALL).collect()
+    found = quality.repetition(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
     assert len(found) == len(docs)
     for r in found:
-        assert tuple(r)[1:7] == plain_quality(texts[r.doc_id])
-        assert r.shares == pytest.approx(plain_shares(texts[r.doc_id]))
+        assert tuple(r)[1:7] == plain_quality(texts[r.id])
+        assert r.shares == pytest.approx(plain_shares(texts[r.id]))
         assert not (r.base_failed and r.kept)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..session import arrow_map
 from .common import id_and_bytes, rows
+from .rolling import rolled
 
 #: n-gram lengths, and the share of a text's word characters that n-grams found twice may cover.
 LIMITS = {5: 0.45, 6: 0.42, 7: 0.39, 8: 0.36, 9: 0.33, 10: 0.30}
@@ -18,29 +19,6 @@ LINE_LIMIT = 0.30
 BASE_WIDTH, BASE_WORDS, BASE_PERCENT = 8, 20, 30
 SYMBOLS = list(b"#*$%&|<>")
 BLANKS = [9, 10, 11, 12, 13, 32]
-_STEP = 0x9E3779B97F4A7C15
-_BACK = pow(_STEP, -1, 1 << 64)
-
-
-class Powers:
-    """Powers of the multiplier and of its inverse modulo 2^64, as far as a text needs them."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            self.up, self.down = _series(_STEP, 1 << n.bit_length()), _series(_BACK, 1 << n.bit_length())
-        return self.up[:n], self.down[:n]
-
-
-def _series(step: int, n: int) -> np.ndarray:
-    factors = np.full(n, step, np.uint64)
-    factors[0] = 1
-    return np.multiply.accumulate(factors)
-
-
-_powers = Powers()
 
 
 def repeated_windows(ids: np.ndarray, width: int) -> np.ndarray:
@@ -50,12 +28,9 @@ def repeated_windows(ids: np.ndarray, width: int) -> np.ndarray:
     twice = np.zeros(max(n, 0), bool)
     if n < 2:
         return twice
-    up, down = _powers.of(len(ids))
-    sums = np.zeros(len(ids) + 1, np.uint64)
-    np.cumsum((ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)) * up, out=sums[1:])
-    rolled = (sums[width:] - sums[:-width]) * down[:n]
-    order = np.argsort(rolled, kind="stable")
-    same = np.flatnonzero(rolled[order[1:]] == rolled[order[:-1]])
+    hashes = rolled(ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1), width)
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
     if not len(same):
         return twice
     left, right = order[same], order[same + 1]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import arrow_map, ship
 from .common import checkpointed
+from .rolling import rolled
 
 LENGTH = 100
 #: Lengths of the hashed strings: the first for all runs, the others for hashes that so many different runs share.
@@ -36,28 +37,9 @@ PLACES = 16
 ARRAY = 1 << 20
 
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_STEP = 0x9E3779B97F4A7C15
 _ROW = np.dtype([("anchor", "<u8"), ("digest", "<u8"), ("id", "<i8"), ("at", "<i8"), ("windows", "<i4"), ("self", "?")])
 
 
-def _series(step: int, n: int) -> np.ndarray:
-    factors = np.full(n, step, np.uint64)
-    factors[0] = 1
-    return np.multiply.accumulate(factors)
-
-
-class _Powers:
-    up = down = np.ones(1, np.uint64)
-
-    def of(self, n: int):
-        if n > len(self.up):
-            self.up, self.down = _series(_STEP, n), _series(pow(_STEP, -1, 1 << 64), n)
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
-
-
 def _sliding(of, a: np.ndarray, width: int) -> np.ndarray:
     """Minimum or maximum of each `width` neighbours, by doubling."""
     done = 1
@@ -72,11 +54,7 @@ def runs_of(text: bytes, anchor: int = ANCHOR, length: int = LENGTH) -> Iterator
     width = length - anchor + 1
     for first in range(0, len(text) - length + 1, BLOCK):
         block = np.frombuffer(text, np.uint8, min(BLOCK + length - 1, len(text) - first), first)
-        n = len(block)
-        up, down = _powers.of(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-        h = (sums[anchor:] - sums[:-anchor]) * down[: n - anchor + 1]
+        h = rolled(block.astype(np.uint64) + np.uint64(1), anchor)
         h ^= h >> np.uint64(32)
         h *= _MIX
         h ^= h >> np.uint64(29)

@@ -52,11 +52,15 @@ def scan_cost(hashed: DataFrame, cache: DataFrame, model: str) -> DataFrame:
 
 def document_cost(hashed: DataFrame, cache: DataFrame, model: str, overview_exists: bool) -> DataFrame:
     """(uncached_files, uncached_dirs, input_tokens, output_tokens, cost) of files, then directories, then the overview."""
-    mapped = misses(hashed, cache).agg(F.count("*").alias("uncached_files"), F.coalesce(F.sum(costs.tokens(F.col("content"))), F.lit(0)).cast("long").alias("map_tokens"))
     dirs = directory_hashes(hashed)
-    missing = misses(dirs, cache, "dir").agg(F.count("*").alias("uncached_dirs"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("files_in_them"))
-    every = dirs.agg(F.count("*").alias("n_dirs"))
-    sums = mapped.join(missing, F.lit(True)).join(every, F.lit(True))  # one row each
+    names = ("uncached_files", "map_tokens", "uncached_dirs", "files_in_them", "n_dirs")
+    parts = (
+        (misses(hashed, cache), {"uncached_files": F.lit(1), "map_tokens": costs.tokens(F.col("content"))}),
+        (misses(dirs, cache, "dir"), {"uncached_dirs": F.lit(1), "files_in_them": F.col("n_files")}),
+        (dirs, {"n_dirs": F.lit(1)}),
+    )
+    counted = [rows.select(*[given.get(n, F.lit(0)).cast("long").alias(n) for n in names]) for rows, given in parts]
+    sums = counted[0].union(counted[1]).union(counted[2]).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
     again = F.lit(not overview_exists) | (F.col("uncached_dirs") > 0)
     over = F.when(again, costs.SUMMARY * F.col("n_dirs")).otherwise(F.lit(0))
     into = (F.col("map_tokens") + costs.SUMMARY * F.col("files_in_them") + over).cast("long")

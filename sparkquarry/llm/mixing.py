@@ -10,8 +10,9 @@ from .common import WORD
 WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its own size.
 MOST = 3
-#: Documents of a source are numbered in cells of one size class and one of so many residues of the mixed id.
-CELLS = 256
+#: Documents of a source are numbered in cells: so many size classes for each doubling of the size, in each so many parts
+#: of the shuffle of ids.
+CLASSES, CELLS = 64, 64
 SEED = "mix"
 
 
@@ -19,6 +20,12 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def size_class(size: Column) -> Column:
+    """The place of a size in CLASSES equal steps from each power of two to the next; whole numbers, so alike everywhere."""
+    bits = F.length(F.bin(size + 1))
+    return (CLASSES * bits + F.floor((size + 1) * CLASSES / F.pow(F.lit(2.0), bits))).cast("int")
+
+
 def scattered(number: Column) -> Column:
     """An id's place in a fixed shuffle: a multiplicative generator over a prime, kept within long arithmetic."""
     residue = F.pmod(F.coalesce(number.cast("long"), F.lit(0)), F.lit(1000003))
@@ -59,7 +66,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     held = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), *([F.struct("*").alias("row")] if carry else [])
     )
-    placed = held.withColumn("place", scattered(F.col("id"))).withColumn("class", F.floor(8 * F.log2(F.col("size") + F.lit(1.0))).cast("int"))
+    placed = held.withColumn("place", scattered(F.col("id"))).withColumn("class", size_class(F.col("size")))
     placed = placed.withColumn("cell", F.floor(F.col("place") * CELLS / F.lit(2147483647)).cast("int"))
     cells = placed.groupBy("source", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     sized = cells.groupBy("source").agg(F.sum("words").alias("source_size"))

@@ -93,7 +93,7 @@ _OP10 = f"""WITH docs AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
     WINDOW o AS (ORDER BY {float(mixing.MOST)}::DOUBLE * source_size / weight, source NULLS LAST), p AS (ORDER BY {float(mixing.MOST)}::DOUBLE * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   level AS (SELECT arg_min(share, pos) AS level FROM capped WHERE share * weight <= {mixing.MOST} * source_size),
   aims AS (SELECT source, source_size, least(level * weight, ({mixing.MOST} * source_size)::DOUBLE) AS target, ('0x' || substr(md5('{mixing.SEED}/' || coalesce(source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS shift FROM capped, level),
-  numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY floor(8 * log2(size + 1.0::DOUBLE))::INTEGER, place * {mixing.CELLS} // 2147483647, place, size, doc_id NULLS FIRST) AS k FROM docs)
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ({mixing.CLASSES} * length(bin(size + 1)) + floor((size + 1) * {mixing.CLASSES} / pow(2.0::DOUBLE, length(bin(size + 1)))))::INTEGER, place * {mixing.CELLS} // 2147483647, place, size, doc_id NULLS FIRST) AS k FROM docs)
   SELECT doc_id, size, source_size, target, ((floor(k * rate + shift) - floor((k - 1) * rate + shift)) * size)::BIGINT AS taken
   FROM (SELECT n.*, source_size, target, shift, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM numbered n JOIN aims a ON n.source IS NOT DISTINCT FROM a.source)"""
 

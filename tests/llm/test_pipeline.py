@@ -29,7 +29,7 @@ def plain_copies(docs):
         n = len(WORD.findall(text))
         sizes[source] += n
         place = ((i % 1000003) + 1) * 48271 % 2147483647
-        of[source].append((math.floor(8 * math.log2(n + 1)), place * mixing.CELLS // 2147483647, place, n, i))
+        of[source].append((mixing.CLASSES * (n + 1).bit_length() + ((n + 1) * mixing.CLASSES >> (n + 1).bit_length()), place * mixing.CELLS // 2147483647, place, n, i))
     out = {}
     for source, target in plain_targets(sizes).items():
         offset = int(hashlib.md5(f"{mixing.SEED}/{source}".encode()).hexdigest()[:8], 16) / 4294967296

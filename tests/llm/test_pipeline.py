@@ -54,6 +54,11 @@ def test_pipeline_equals_plain(spark):
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in found)
 
 
-def test_stages_keep_columns(odd):
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(odd.sparkSession, odd, SMALL).columns == odd.columns
+def test_stages_on_odd_rows(spark, odd, none):
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for docs in (odd, none):
+            left = stage(spark, docs, SMALL)
+            rows = left.collect()
+            assert k == len(corpus_pipeline.STAGES) - 1 or left.columns == docs.columns
+            assert len(rows) <= 3 * docs.count() and (docs is odd or not rows)
+    assert {r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, odd, SMALL).collect()} >= {4, 5, 6, 7, -8, 9}

@@ -10,12 +10,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch, unless the session says otherwise: texts can be long, and a worker holds a batch or two.
+BATCH, USUAL_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, whose path needn't hold it, once per application.
 
     The archive goes through Spark's own file server, as with --py-files."""
+    if spark.conf.get(BATCH) == USUAL_BATCH:
+        spark.conf.set(BATCH, "8m")
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

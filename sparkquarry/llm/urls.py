@@ -14,7 +14,7 @@ from .common import UPPER, checkpointed
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Labelled URLs that the trees learn from, at most.
 SAMPLE = 6000
-TREES, DEPTH, BINS, RATE, PENALTY, LEAST = 10, 3, 16, 0.3, 1.0, 5.0
+TREES, DEPTH, BINS, RATE, PENALTY, LEAST, SMOOTH = 10, 3, 16, 0.3, 1.0, 1.25, 10.0
 FEATURES = ("url_length", "host_length", "labels", "hyphens", "depth", "path_length", "digit_ratio", "host_digits", "entropy", "parameters", "suffix_share", "domain_share")
 
 
@@ -108,18 +108,21 @@ def train(labelled: DataFrame) -> Trees:
     sample = checkpointed(labelled.orderBy(F.xxhash64("url"), "url").limit(SAMPLE))
     n, ones = sample.agg(F.count("*"), F.sum("label")).first()
     ones = ones or 0
-    model = Trees(base=_log_odds(ones + 0.5, n - ones + 0.5) if n else -5.0)
     if not n or ones in (0, n):
-        return model
+        return Trees(base=_log_odds(ones + 0.5, n - ones + 0.5) if n else -5.0)
+    # both labels weigh alike in all: what is known of neither stands in the middle
+    block, allow = n / (2 * ones), n / (2 * (n - ones))
     shares = {}
     for key in ("suffix", "domain"):
         found = sample.groupBy(key).agg(F.sum("label").alias("ones"), F.count("*").alias("n")).collect()
-        shares[key] = {r[key]: (r.ones + 10 * ones / n) / (r.n + 10) for r in found}
-    model.suffixes, model.domains = shares["suffix"], shares["domain"]
-    sample = model.with_statistics(sample)
-    edges = sample.agg(*[F.array_distinct(F.percentile_approx(name, [k / BINS for k in range(1, BINS)], 10_000)).alias(name) for name in FEATURES]).first().asDict()
+        shares[key] = {r[key]: (block * r.ones + SMOOTH / 2) / (block * r.ones + allow * (r.n - r.ones) + SMOOTH) for r in found}
+    model = Trees(0.0, [], shares["suffix"], shares["domain"])
+    sample = model.with_statistics(sample).withColumn("weight", F.when(F.col("label") == 1, block).otherwise(allow))
+    quantiles = sample.agg(*[F.array_distinct(F.percentile_approx(name, [k / BINS for k in range(BINS + 1)], 10_000)).alias(name) for name in FEATURES]).first().asDict()
+    # cuts lie between values, so that a value never seen goes with the nearer ones
+    edges = {name: [(a + b) / 2 for a, b in zip(q, q[1:])] for name, q in quantiles.items()}
     binned = {name: reduce(lambda c, k: F.when(F.col(name) <= edges[name][k], F.lit(k)).otherwise(c), reversed(range(len(edges[name]))), F.lit(len(edges[name]))) for name in FEATURES}
-    sample = checkpointed(sample.select("label", *FEATURES, F.array(*[F.struct(F.lit(i).alias("feature"), b.alias("bin")) for i, b in enumerate(binned.values())]).alias("bins")))
+    sample = checkpointed(sample.select("label", "weight", *FEATURES, F.array(*[F.struct(F.lit(i).alias("feature"), b.alias("bin")) for i, b in enumerate(binned.values())]).alias("bins"))).coalesce(1)  # SAMPLE rows: one task sums them without a shuffle
     for _ in range(TREES):
         model.trees.append(_tree(sample, model.score(), edges))
     return model
@@ -132,11 +135,12 @@ def _log_odds(yes: float, no: float) -> float:
 
 
 def _tree(sample: DataFrame, score: Column, edges: dict[str, list[float]]):
+    """One tree, a level at a time. A split's two sums are those of its children, so the last level needs no pass."""
     chance = 1 / (1 + F.exp(-score))
-    rows = sample.select(*FEATURES, "bins", (chance - F.col("label")).alias("g"), (chance * (1 - chance)).alias("h"))
+    rows = sample.select(*FEATURES, "bins", (F.col("weight") * (chance - F.col("label"))).alias("g"), (F.col("weight") * chance * (1 - chance)).alias("h"))
     splits: dict[int, tuple[int, float]] = {}
     leaves: dict[int, float] = {}
-    for level in range(DEPTH + 1):
+    for level in range(DEPTH):
         node = F.lit(1)
         for k, (feature, threshold) in sorted(splits.items()):
             node = F.when(node == k, F.when(F.col(FEATURES[feature]) <= threshold, F.lit(2 * k)).otherwise(F.lit(2 * k + 1))).otherwise(node)
@@ -146,22 +150,13 @@ def _tree(sample: DataFrame, score: Column, edges: dict[str, list[float]]):
             by_node.setdefault(r.node, {}).setdefault(r.feature, {})[r.bin] = (r.g, r.h)
         grew = False
         for k, histograms in by_node.items():
-            g, h = (sum(x[i] for x in histograms[0].values()) for i in (0, 1))
-            leaves[k] = round(-RATE * g / (h + PENALTY), 9)
-            if level == DEPTH or k < 2**level:
+            if k < 2**level:
                 continue
-            best = (1e-6, 0, 0.0)
-            for feature, bins in sorted(histograms.items()):
-                left_g = left_h = 0.0
-                for b in sorted(bins)[:-1]:
-                    left_g, left_h = left_g + bins[b][0], left_h + bins[b][1]
-                    if min(left_h, h - left_h) < LEAST / 4:
-                        continue
-                    gain = round(left_g**2 / (left_h + PENALTY) + (g - left_g) ** 2 / (h - left_h + PENALTY) - g**2 / (h + PENALTY), 6)
-                    if gain > best[0]:
-                        best = (gain, feature, float(edges[FEATURES[feature]][b]))
-            if best[0] > 1e-6:
-                splits[k], grew = best[1:], True
+            split, left, whole = _best_split(histograms, edges)
+            leaves[k] = _leaf(*whole)
+            if split:
+                splits[k], grew = split, True
+                leaves[2 * k], leaves[2 * k + 1] = _leaf(*left), _leaf(whole[0] - left[0], whole[1] - left[1])
         if not grew:
             break
 
@@ -173,6 +168,28 @@ def _tree(sample: DataFrame, score: Column, edges: dict[str, list[float]]):
     return build(1)
 
 
+def _leaf(g: float, h: float) -> float:
+    return round(-RATE * g / (h + PENALTY), 9)
+
+
+def _best_split(histograms: dict[int, dict[int, tuple[float, float]]], edges: dict[str, list[float]]):
+    """((feature, threshold) or None, sums on its left, sums of the node); gains are rounded, so that the order in which
+    gradients were added doesn't choose between equal ones."""
+    g, h = (sum(x[i] for x in histograms[0].values()) for i in (0, 1))
+    gain_of = lambda a, b: a * a / (b + PENALTY)
+    most, split, left = 1e-6, None, (0.0, 0.0)
+    for feature, bins in sorted(histograms.items()):
+        left_g = left_h = 0.0
+        for b in sorted(bins)[:-1]:
+            left_g, left_h = left_g + bins[b][0], left_h + bins[b][1]
+            if min(left_h, h - left_h) < LEAST:
+                continue
+            gain = round(gain_of(left_g, left_h) + gain_of(g - left_g, h - left_h) - gain_of(g, h), 6)
+            if gain > most:
+                most, split, left = gain, (feature, float(edges[FEATURES[feature]][b])), (left_g, left_h)
+    return split, left, (g, h)
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None, url_of: str = "url", label_of: str = "label") -> DataFrame:
     """(id, url, host, path, rule, verdict, score) of every row: the longest rule's verdict, else that of the trees.
 

@@ -21,19 +21,25 @@ SLABS = 6
 LOW_BITS = 0x5555555555555555
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """64-bit SimHash of the word shingles of a whole text, repeats included; A-Z count as lower case."""
+def shingle_hashes(text: bytes | None, width: int) -> list[int]:
+    """Hashes of the word shingles of a whole text, repeats included; A-Z count as lower case. Up to `width` words are one shingle."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())]
+        return [xxhash.xxh64_intdigest(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_intdigest
+    return [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())]
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """64-bit SimHash of the word shingles of a whole text."""
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = np.array(hashes[at : at + (1 << 16)], dtype=">u8").view(np.uint8).reshape(-1, 8)

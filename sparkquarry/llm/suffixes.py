@@ -61,11 +61,11 @@ def runs_of(text: bytes, anchor: int = ANCHOR, length: int = LENGTH) -> Iterator
         least = _sliding(np.minimum, h, width)
         starts = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         ends = np.append(starts[1:], len(least))
-        # the hashes that are the smallest of some string; two equal ones nearer than a string's width share strings
+        # the hashes that are the smallest of some string; two equal ones no farther apart than that have touching strings, which are one run
         padded = np.concatenate((np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)))
         chosen = np.flatnonzero(h == _sliding(np.maximum, padded, width))
         twice = np.zeros(len(starts), bool)
-        near = np.flatnonzero((h[chosen[1:]] == h[chosen[:-1]]) & (np.diff(chosen) < width))
+        near = np.flatnonzero((h[chosen[1:]] == h[chosen[:-1]]) & (np.diff(chosen) <= width))
         if len(near):
             twice[np.searchsorted(starts, np.minimum(chosen[near], len(least) - 1), "right") - 1] = True
         yield least[starts], starts + first, ends + first, twice

@@ -52,6 +52,19 @@ def test_repeats_of_hard_texts(spark):
     check(spark, texts)
 
 
+def test_repeats_of_every_period(spark):
+    """A text of each period, in whose runs a hash may stand again at any distance, alone and with an exact copy of it."""
+    rng = random.Random(7)
+    texts = []
+    for period in range(1, 101):
+        unit = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(period))
+        for size in (100 + period, 169, 170, 3 * period + 100):
+            texts.append((unit * (size // period + 1))[:size])
+    line = "".join(rng.choice("ABCDEFGH ") for _ in range(68)) + "\n"
+    copied = "".join(rng.choice("0123456789") for _ in range(69)) * 3
+    check(spark, [*texts, line * 3, copied, copied])
+
+
 def test_repeats_with_finer_hashes_and_small_blocks(spark, monkeypatch):
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("xyz ") for _ in range(n))

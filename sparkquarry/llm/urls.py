@@ -12,8 +12,10 @@ from .common import UPPER, checkpointed
 
 #: What a rule says, and the host and path that it fits.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Labelled URLs that the trees learn from, at most.
+#: Different labelled URLs that the trees learn from, at most; statistics are of all rows.
 SAMPLE = 6000
+#: Parts that the rows of one suffix are dealt into: few suffixes have most of the rows.
+PARTS = 32
 TREES, DEPTH, BINS, RATE, PENALTY, LEAST, SMOOTH = 10, 3, 16, 0.3, 1.0, 1.25, 10.0
 FEATURES = ("url_length", "host_length", "labels", "hyphens", "depth", "path_length", "digit_ratio", "host_digits", "entropy", "parameters", "suffix_share", "domain_share")
 
@@ -68,25 +70,22 @@ class Trees:
 
     base: float = 0.0
     trees: list = field(default_factory=list)
-    suffixes: dict[str, float] = field(default_factory=dict)
-    domains: dict[str, float] = field(default_factory=dict)
+    suffixes: DataFrame | None = None
+    domains: DataFrame | None = None
 
     def score(self) -> Column:
         """The log-odds of blocking, as one expression."""
         return reduce(lambda total, tree: total + _value(tree), self.trees, F.lit(self.base))
 
     def with_statistics(self, pages: DataFrame) -> DataFrame:
-        """Joins the shares; a sample has at most SAMPLE suffixes, so their tables may be broadcast."""
-        prior = _sigmoid(self.base)
-        for name, key, known in (("suffix_share", "suffix", self.suffixes), ("domain_share", "domain", self.domains)):
-            spark = pages.sparkSession
-            table = spark.sql("SELECT explode(map_from_entries(array(" + ", ".join(f"struct({_quoted(k)}, {v!r}D)" for k, v in sorted(known.items())) + f"))) AS ({key}, {name})") if known else None
-            pages = pages.join(F.broadcast(table), key, "left").fillna(prior, [name]) if table is not None else pages.withColumn(name, F.lit(prior))
-        return pages
-
-
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        """Joins the shares of suffixes and domains; a common suffix is dealt into parts, a common domain is left to the skew handling of adaptive execution."""
+        prior = F.lit(_sigmoid(self.base))
+        if self.suffixes is None or self.domains is None:
+            return pages.withColumns({"suffix_share": prior, "domain_share": prior})
+        dealt = self.suffixes.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        pages = pages.withColumn("__part", F.pmod(F.xxhash64("url"), F.lit(PARTS)).cast("int")).join(dealt, ["suffix", "__part"], "left").drop("__part")
+        pages = pages.join(self.domains, "domain", "left")
+        return pages.withColumns({name: F.coalesce(name, prior) for name in ("suffix_share", "domain_share")})
 
 
 def _sigmoid(x: float) -> float:
@@ -101,21 +100,24 @@ def _value(tree) -> Column:
 
 
 def train(labelled: DataFrame) -> Trees:
-    """Boosts trees on rows with the features and `label` (1: block, 0: allow), at most SAMPLE of them, those that come
-    first by a hash of the URL. Every split is chosen from sums of gradients by node, feature and bin, which
-    one aggregation gives: what comes to the driver is bounded by nodes, features and bins. No rows, or one
-    label only: no trees, and the base score says what was seen."""
-    sample = checkpointed(labelled.orderBy(F.xxhash64("url"), "url").limit(SAMPLE))
-    n, ones = sample.agg(F.count("*"), F.sum("label")).first()
-    ones = ones or 0
+    """Boosts trees on URLs (url, host, path and `label`, 1: block, 0: allow): at most SAMPLE different ones, those that come
+    first by a hash of the URL. The shares of suffixes and domains are counted over all rows. Every split is chosen from sums of
+    gradients by node, feature and bin, which one aggregation gives: what comes to the driver is bounded by nodes, features
+    and bins. No rows, or one label only: no trees, and the base score says what was seen."""
+    counts = checkpointed(lexical(labelled, "url").groupBy("suffix", "domain").agg(F.sum("label").alias("ones"), F.count("*").alias("n")))
+    n, ones = counts.agg(F.sum("n"), F.sum("ones")).first()
+    n, ones = n or 0, ones or 0
     if not n or ones in (0, n):
         return Trees(base=_log_odds(ones + 0.5, n - ones + 0.5) if n else -5.0)
+    sample = checkpointed(_sampled(labelled))
     # both labels weigh alike in all: what is known of neither stands in the middle
     block, allow = n / (2 * ones), n / (2 * (n - ones))
     shares = {}
     for key in ("suffix", "domain"):
-        found = sample.groupBy(key).agg(F.sum("label").alias("ones"), F.count("*").alias("n")).collect()
-        shares[key] = {r[key]: (block * r.ones + SMOOTH / 2) / (block * r.ones + allow * (r.n - r.ones) + SMOOTH) for r in found}
+        found = counts.groupBy(key).agg((block * F.sum("ones")).alias("yes"), (allow * (F.sum("n") - F.sum("ones"))).alias("no"))
+        shares[key] = checkpointed(found.select(key, ((F.col("yes") + SMOOTH / 2) / (F.col("yes") + F.col("no") + SMOOTH)).alias(f"{key}_share")))
+    n, ones = sample.agg(F.count("*"), F.sum("label")).first()
+    block, allow = n / (2 * max(ones, 1)), n / (2 * max(n - ones, 1))
     model = Trees(0.0, [], shares["suffix"], shares["domain"])
     sample = model.with_statistics(sample).withColumn("weight", F.when(F.col("label") == 1, block).otherwise(allow))
     quantiles = sample.agg(*[F.array_distinct(F.percentile_approx(name, [k / BINS for k in range(BINS + 1)], 10_000)).alias(name) for name in FEATURES]).first().asDict()
@@ -128,6 +130,11 @@ def train(labelled: DataFrame) -> Trees:
     return model
 
 
+def _sampled(labelled: DataFrame) -> DataFrame:
+    """The features of the different URLs that the trees learn from."""
+    return lexical(labelled.select("url", "host", "path", "label").distinct().orderBy(F.xxhash64("url"), "url", "label").limit(SAMPLE), "url")
+
+
 def _log_odds(yes: float, no: float) -> float:
     from math import log
 
@@ -210,7 +217,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         known = decided.where("by_rule IS NOT NULL").select("url", "host", "path", (F.col("by_rule") == "block").cast("int").alias("label"))
     else:
         known = parsed(labelled, url_of, F.col(label_of).cast("int").alias("label")).where("label IS NOT NULL")
-    model = train(lexical(known, "url"))
+    model = train(known)
     scored = model.with_statistics(lexical(decided, "url")).withColumn("score", 1 / (1 + F.exp(-model.score())))
     learnt = F.when(F.col("score") > 0.5, "block").otherwise("allow")
     return scored.select("id", "url", "host", "path", "rule", F.coalesce("by_rule", learnt).alias("verdict"), "score")

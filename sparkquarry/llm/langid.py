@@ -16,8 +16,8 @@ from .common import rows
 
 #: Families of the languages that corpora mostly hold; any other language is a family of its own.
 FAMILIES = {"germanic": ("en", "de", "nl", "sv", "da", "no"), "romance": ("fr", "es", "it", "pt", "ro", "ca"), "slavic": ("ru", "uk", "pl", "cs", "bg", "sr")}
-#: Rows of a language that the machines learn from, at most, and languages, at most.
-ROWS, LANGUAGES = 400, 60
+#: Rows of a language that the machines learn from, at most, and rows in all.
+ROWS, SAMPLE = 400, 24_000
 #: Parts of a language's rows that are ranked apart at first.
 SHARES = 32
 #: Hashed character n-grams of one, two and three letters.
@@ -121,21 +121,22 @@ def _squash(margin: float) -> float:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = ROWS) -> Discriminator | None:
-    """Learns from at most `most` rows of each of at most LANGUAGES languages, those that come first by a hash of the
-    id, so the choice depends on no order of rows. None if no row has a language and a text with a letter.
+    """Learns from at most `most` rows of each language, fewer where all languages would have more than SAMPLE together
+    but one at least, those that come first by a hash of the id, so the choice depends on no order of rows. None if no row has a language and a text with a letter.
 
     What comes to the driver is one vector per row of that sample: its size is bounded by the parameters."""
     place = F.xxhash64(F.col(id_col).cast("string"))
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    languages = known.select(F.col(lang_col).cast("string")).distinct().count()
+    most = max(1, min(most, SAMPLE // max(languages, 1)))
     # first within shares of a language, so that a common language is not one task's work, then among what they leave
     shares = Window.partitionBy("lang", F.pmod("place", F.lit(SHARES))).orderBy("place", "id")
     first = Window.partitionBy("lang").orderBy("place", "id")
     rows_of = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), place.alias("place"))
     chosen = rows_of.withColumn("k", F.row_number().over(shares)).where(F.col("k") <= most).withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
-    common = chosen.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    sample = chosen.join(F.broadcast(common.select("lang")), "lang").select(F.col("id").alias("__id"), F.col("lang").alias("__lang"))
+    sample = chosen.select(F.col("id").alias("__id"), F.col("lang").alias("__lang"))
     texts = known.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    # at most `most` times LANGUAGES ids: a proven bound for the broadcast
+    # at most SAMPLE ids, or one a language: a proven bound for the broadcast
     texts = texts.join(F.broadcast(sample), (texts["id"] == F.col("__id")) & (texts["lang"] == F.col("__lang")), "left_semi")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

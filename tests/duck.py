@@ -3,13 +3,14 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def rows_of(frame):
     frame = frame[sorted(frame.columns)]
-    shown = lambda x: None if x is None or x != x else round(x, 9) if isinstance(x, float) else x
+    shown = lambda x: None if x is None or x is pd.NA or x != x else round(x, 9) if isinstance(x, float) else x
     return list(frame.columns), sorted((tuple(map(shown, r)) for r in frame.astype(object).itertuples(index=False)), key=repr)
 
 

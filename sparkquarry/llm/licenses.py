@@ -1,144 +1,110 @@
-"""License scans: ordered signature rules behind a keyword gate, overlaps resolved by priority and containment."""
+"""License scans: ordered signatures behind a keyword gate, overlaps resolved by priority and containment."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower
+from .signatures import BASE, CONFIDENCE, GATE, SHORT, Signature, signatures
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words in texts whose capitals still stand.
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Phrases that are always reported.
-BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-#: Label, keyword that the text must hold, names as patterns over lower-case words with one blank between.
-NAMES = (
-    ("mit", "mit", r"mit licen[cs]e"), ("mit-0", "mit", r"mit (?:no attribution|0)"), ("x11", "x11", r"x11 licen[cs]e"), ("isc", "isc", r"isc licen[cs]e"), ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e"),
-    ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e (?:version |v)?1 1"), ("apache-2", "apache", r"apache (?:software )?licen[cs]e (?:version |v ?)?2(?: 0)?"), ("apache", "apache", r"apache (?:software )?licen[cs]e"),
-    ("gpl-1", "general public", r"(?:gnu )?general public licen[cs]e (?:version |v ?)?1(?: 0)?"), ("gpl-1", "gpl", r"(?:gnu )?gpl ?(?:version |v ?)?1(?: 0)?"), ("gpl-2", "general public", r"(?:gnu )?general public licen[cs]e (?:version |v ?)?2(?: 0)?"), ("gpl-2", "gpl", r"(?:gnu )?gpl ?(?:version |v ?)?2(?: 0)?"), ("gpl-3", "general public", r"(?:gnu )?general public licen[cs]e (?:version |v ?)?3(?: 0)?"), ("gpl-3", "gpl", r"(?:gnu )?gpl ?(?:version |v ?)?3(?: 0)?"),
-    ("gpl", "gnu", r"gnu (?:general public licen[cs]e|gpl)"), ("lgpl-2", "library general", r"(?:gnu )?library general public licen[cs]e (?:version |v ?)?2(?: 0)?"), ("lgpl-2.1", "lesser general", r"(?:gnu )?lesser general public licen[cs]e (?:version |v ?)?2 1"), ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl ?(?:version |v ?)?2 1"), ("lgpl-3", "lesser general", r"(?:gnu )?lesser general public licen[cs]e (?:version |v ?)?3(?: 0)?"), ("lgpl-3", "lgpl", r"(?:gnu )?lgpl ?(?:version |v ?)?3(?: 0)?"), ("lgpl", "gnu", r"gnu (?:lesser|library) general public licen[cs]e"),
-    ("agpl-3", "affero", r"(?:gnu )?affero general public licen[cs]e (?:version |v ?)?3(?: 0)?"), ("agpl-3", "agpl", r"(?:gnu )?agpl ?(?:version |v ?)?3(?: 0)?"), ("agpl", "affero", r"(?:gnu )?affero general public licen[cs]e"), ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[cs]e"),
-    ("bsd-2", "bsd", r"(?:2|two) clause bsd(?: licen[cs]e)?|(?:simplified|freebsd) bsd licen[cs]e|bsd 2 clause(?: licen[cs]e)?"), ("bsd-3", "bsd", r"(?:3|three) clause bsd(?: licen[cs]e)?|(?:new|revised|modified) bsd licen[cs]e|bsd 3 clause(?: licen[cs]e)?"), ("bsd-4", "bsd", r"(?:4|four) clause bsd(?: licen[cs]e)?|original bsd licen[cs]e"), ("bsd", "bsd", r"bsd(?: style)? licen[cs]e"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e (?:version |v ?)?1 1"), ("mpl-2", "mozilla", r"mozilla public licen[cs]e (?:version |v ?)?2(?: 0)?"), ("mpl-2", "mpl", r"mpl (?:version |v ?)?2(?: 0)?"), ("mpl", "mozilla", r"mozilla public licen[cs]e"),
-    ("epl-1", "eclipse", r"eclipse public licen[cs]e (?:version |v ?)?1(?: 0)?"), ("epl-2", "eclipse", r"eclipse public licen[cs]e (?:version |v ?)?2(?: 0)?"), ("cddl", "cddl", r"cddl(?: licen[cs]e)?"), ("eupl", "european union", r"european union public licen[cs]e"), ("artistic-2", "artistic", r"artistic licen[cs]e (?:version |v ?)?2(?: 0)?"), ("artistic", "artistic", r"artistic licen[cs]e"),
-    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"), ("cc-by", "cc", r"(?:cc by|creative commons attribution)(?: [1-4] [05])?"), ("cc-by-sa", "cc", r"(?:cc by sa|creative commons attribution share ?alike)(?: [1-4](?: [05])?)?"), ("cc-by-nd", "cc", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: [1-4](?: [05])?)?"),
-    ("cc-by-nc", "cc", r"(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4](?: [05])?)?"), ("cc-by-nc-sa", "cc", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4](?: [05])?)?"), ("cc-by-nc-nd", "cc", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4](?: [05])?)?"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"), ("wtfpl", "wtfpl", r"wtfpl"), ("boost-1", "boost", r"boost software licen[cs]e(?: (?:version |v ?)?1(?: 0)?)?"), ("odbl", "open database", r"open database licen[cs]e"), ("ofl", "open font", r"(?:sil )?open font licen[cs]e"), ("python-2", "python", r"python software foundation licen[cs]e(?: (?:version |v ?)?2)?"), ("public-domain", "public domain", r"public domain"), ("proprietary", "rights reserved", r"all rights reserved"),
-)
-#: Sentence forms around a name: priority, confidence, pattern. A rule is a name in a form.
-FORMS = (
-    (4, 1.0, r"spdx licen[cs]e identifier {}"), (4, 0.0, r"not (?:be )?(?:licen[cs]ed |released |distributed |available )?under (?:the )?(?:terms of (?:the )?)?{}"),
-    (3, 0.95, r"(?:licen[cs]ed|released|distributed|available|published|provided|redistributed) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}"),
-    (2, 0.9, r"under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}"), (2, 0.85, r"(?:subject|according|pursuant) to (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{}"), (2, 0.8, r"(?:see|read|copy of) (?:the )?{}"), (1, 0.6, r"{}"),
-)
-TOP = max(p for p, _, _ in FORMS)
-
-
-@dataclass(frozen=True)
-class Rule:
-    label: str
-    keyword: str
-    pattern: str
-    priority: int
-    confidence: float
-    base: bool = False
-
-
-def rules() -> list[Rule]:
-    """In order: the base phrases, then forms by priority. A denial reports no label and hides what it contains."""
-    made = [Rule(label, phrase.split()[-2] if label != "cc-by-nc" else "cc", phrase, 0, 0.9, True) for label, phrase in BASE]
-    for priority, confidence, form in FORMS:
-        made += [Rule("" if not confidence else label, keyword, form.format(f"(?:{name})"), priority, confidence) for label, keyword, name in NAMES]
-    return made
-
-
-def _literals(made: list[Rule]) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in (("label", r.label), ("keyword", r.keyword), ("pattern", f"(?<= )(?:{r.pattern})(?= )"), ("priority", r.priority), ("confidence", r.confidence), ("base", r.base), ("order", i))]) for i, r in enumerate(made)])
+#: What no word holds, and so can mark where a match begins and ends.
+FIRST, LAST = "\x01", "\x02"
+TOP = max(CONFIDENCE)
 
 
 def gate(low: Column) -> Column:
-    """Whether a text can hold a license at all: every rule needs one of these."""
+    """Whether a lower-case text can hold a license at all: every signature needs one of these."""
     other = r"[^0-9a-z\x80-\x{10FFFF}]"
-    named = F.concat(low, F.lit(" "))
-    common = _all(low, "licen") | _all(low, "public", "domain") | _all(low, "rights", "reserved") | _all(low, "creative", "commons") | _all(low, "mit", "attribution")
-    short = _all(low, "gpl") | _all(low, "bsd") | _all(low, "cddl") | _all(low, "wtfpl") | _all(low, "mit", "0")
-    cc = _all(low, "cc") & named.rlike(f"(?:^|{other})cc(?:0|{other}+by{other})")
-    mpl = _all(low, "mpl") & named.rlike(f"(?:^|{other})mpl{other}")
-    return common | short | cc | mpl
+    short = [_all(low, (words[0],)) & low.rlike(f"(?:^|{other}){pattern.format(other=other)}(?:$|{other})") for words, pattern in SHORT.items()]
+    return reduce(lambda a, b: a | b, [*[_all(low, parts) for parts in GATE], *short])
 
 
-def _all(low: Column, *parts: str) -> Column:
+def _all(low: Column, parts: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a & b, [F.contains(low, F.lit(p)) for p in parts])
 
 
-def _count(words: Column) -> Column:
-    return F.regexp_count(words, F.lit("[^ ]+"))
+def due(joined: Column, made: list[Signature]) -> Column:
+    """The numbers of the signatures that match, each tried only where its keywords stand. Patterns are part of the plan, so
+    they are compiled once."""
+    groups: dict[tuple[str, ...], list[Signature]] = {}
+    for s in made:
+        groups.setdefault(s.keywords, []).append(s)
+    tried = []
+    for keywords, members in groups.items():
+        numbers = F.array_compact(F.array(*[F.when(joined.rlike(s.pattern), F.lit(s.order)) for s in members]))
+        tried.append(F.when(_all(joined, keywords), numbers).otherwise(F.lit([]).cast("array<int>")))
+    return F.flatten(F.array(*tried))
 
 
-def places(joined: Column, rule: Column) -> Column:
-    """Where a rule's pattern stands in words with a blank around each: the words of the pieces between its matches and of
-    the matches before add up to its first word."""
-    pieces = F.split(joined, rule["pattern"])
-    matches = F.regexp_extract_all(joined, rule["pattern"], F.lit(0))
-    steps = F.transform(matches, lambda m, i: F.struct(_count(F.get(pieces, i)).alias("before"), _count(m).alias("own")))
-    empty = F.lit([]).cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    walked = F.aggregate(steps, start, lambda s, x: F.struct((s["at"] + x["before"] + x["own"]).alias("at"), F.array_append(s["found"], F.struct((s["at"] + x["before"]).alias("start"), (s["at"] + x["before"] + x["own"]).alias("end"))).alias("found")))
-    return walked["found"]
+def places(joined: Column, pattern: Column) -> Column:
+    """Where a pattern stands, as first word and word past the end: matches get a mark at either end, and are read off the
+    words. Takes time in proportion to the words, however many matches there are."""
+    marked = F.regexp_replace(joined, F.concat(F.lit(" ("), F.substring(pattern, F.lit(2), F.length(pattern) - 2), F.lit(") ")), F.lit(f" {FIRST}$1{LAST} "))
+    words = F.split(marked, "  ")
+    number = lambda mark, shift: F.array_compact(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(mark)), i + shift)))
+    return F.zip_with(number(FIRST, 0), number(LAST, 1), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
 
 
-def detections(joined: Column, made: list[Rule]) -> Column:
-    """All matches of the rules whose keyword the words hold, as an array."""
-    due = F.filter(_literals(made), lambda r: F.contains(joined, r["keyword"]))
-    return F.flatten(
-        F.transform(due, lambda r: F.transform(places(joined, r), lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("minus_end"), (-r["priority"]).alias("minus_priority"), r["order"].alias("order"), r["label"].alias("label"), r["confidence"].alias("confidence"), r["base"].alias("base"))))
-    )
+def detections(joined: Column, made: list[Signature]) -> Column:
+    """All matches of all signatures, as an array."""
+    of = F.array(*[F.struct(F.lit(s.pattern).alias("pattern"), F.lit(s.priority).alias("priority"), F.lit(s.label).alias("label")) for s in made])
+
+    def found(k: Column) -> Column:
+        s = F.get(of, k)
+        match = lambda p: F.struct(p["start"].alias("start"), (-p["end"]).alias("minus_end"), (-s["priority"]).alias("minus_priority"), k.alias("order"), s["label"].alias("label"))
+        return F.transform(places(joined, s["pattern"]), match)
+
+    return F.flatten(F.transform(due(joined, made), found))
 
 
 def resolve(found: Column) -> Column:
-    """(labels, score) of the matches that no other of the same or a higher priority contains.
+    """(labels, priority) of the matches that no other of the same or a higher priority contains; of equal matches the first
+    signature stays.
 
     In the order of start and, at one start, of falling end and priority, a match is contained if one seen
     before, of its priority or higher, ends no earlier; so the largest end by priority is all to be kept."""
-    start = F.struct(F.array(*[F.lit(-1)] * (TOP + 1)).alias("ends"), F.lit([]).cast("array<string>").alias("labels"), F.lit(0.0).alias("score"))
+    start = F.struct(F.array(*[F.lit(-1)] * (TOP + 1)).alias("ends"), F.lit([]).cast("array<string>").alias("labels"), F.lit(-1).alias("priority"))
 
     def step(s: Column, d: Column) -> Column:
         own = -d["minus_priority"]
         end = -d["minus_end"]
-        hidden = F.exists(F.slice(s["ends"], own + 1, F.lit(TOP + 1)), lambda e: e >= end)
-        counts = ~hidden & (d["label"] != "")
+        counts = ~F.exists(F.slice(s["ends"], own + 1, F.lit(TOP + 1)), lambda e: e >= end) & (d["label"] != "")
         return F.struct(
             F.transform(s["ends"], lambda e, i: F.when(i == own, F.greatest(e, end)).otherwise(e)).alias("ends"),
             F.when(counts, F.array_union(s["labels"], F.array(d["label"]))).otherwise(s["labels"]).alias("labels"),
-            F.when(counts, F.greatest(s["score"], d["confidence"])).otherwise(s["score"]).alias("score"),
+            F.when(counts, F.greatest(s["priority"], own)).otherwise(s["priority"]).alias("priority"),
         )
 
     return F.aggregate(F.array_sort(found), start, step)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", made: list[Rule] | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", made: list[Signature] | None = None) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, found) of every row; no shuffle.
 
     Null and empty texts have no words and no labels. Null ids and repeated rows are scanned like any others. `found` holds
-    every match, hidden ones too, with its words; ends are negative there for the sake of their order.
+    every match, hidden ones too, with its words; ends and priorities are negative there for the sake of their order.
+    The score is the confidence of the best match that counts, 0 without one.
     """
-    made = made or rules()
+    made = made or signatures()
     text = F.coalesce(F.col(text_col), F.lit(""))
     read = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.regexp_count(text, F.lit(ANY_CASE)).cast("long").alias("n_words"))
-    joined = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0)), " "), F.lit(" "))
+    joined = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0)), "  "), F.lit(" "))
     gated = read.select("id", "n_words", F.when(gate(F.lower("text")), joined).alias("joined"))
-    kind = "array<struct<start:int,minus_end:int,minus_priority:int,order:int,label:string,confidence:double,base:boolean>>"
+    kind = "array<struct<start:int,minus_end:int,minus_priority:int,order:int,label:string>>"
     matched = gated.select("id", "n_words", F.when(F.col("joined").isNotNull(), detections(F.col("joined"), made)).otherwise(F.lit([]).cast(kind)).alias("found"))
-    base = F.filter("found", lambda d: d["base"])
+    base = F.filter("found", lambda d: d["minus_priority"] == 0)
     kept = matched.select("id", "n_words", "found", base.alias("base"), F.when(F.size("found") > 0, resolve(F.col("found"))).alias("kept"))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda d: d["label"])))
     none = F.lit([]).cast("array<string>")
     starts = F.transform("base", lambda d: d["start"])
+    worth = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(CONFIDENCE.items()) for x in pair]), F.col("kept.priority"))
     return kept.select(
         "id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"), F.array_join(base_labels, ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union(base_labels, F.coalesce(F.col("kept.labels"), none))), ",").alias("labels"), F.greatest(F.coalesce(F.col("kept.score"), F.lit(0.0)), F.when(F.size("base") > 0, 0.9).otherwise(0.0)).alias("score"), "found",
+        F.array_join(F.array_sort(F.array_union(base_labels, F.coalesce(F.col("kept.labels"), none))), ",").alias("labels"), F.greatest(F.coalesce(worth, F.lit(0.0)), F.when(F.size("base") > 0, CONFIDENCE[0]).otherwise(0.0)).alias("score"), "found",
     )

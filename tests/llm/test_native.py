@@ -1,12 +1,13 @@
 """URL filters, exact duplicates and license scans against plain versions."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 
-from sparkquarry.llm import blocks, licenses, queries, urls
+from sparkquarry.llm import blocks, licenses, queries, signatures, urls
 from tests.conftest import SMALL
 
 from .conftest import ODD
@@ -81,14 +82,25 @@ def plain_base(text):
     return len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))
 
 
+SIGNATURES = [(x, re.compile(x.pattern.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010FFFF"))) for x in signatures.signatures()]
+
+
+def plain_found(text):
+    """(first word, word past the end, signature) of every match, with neither gate nor keywords."""
+    words = " " + "  ".join(WORD.findall((text or "").translate(LOWER))) + " "
+    return [(len(words[: m.start()].split()), len(words[: m.end()].split()), x) for x, pattern in SIGNATURES for m in pattern.finditer(words)]
+
+
 def plain_labels(text):
-    words = " " + " ".join(WORD.findall((text or "").translate(LOWER))) + " "
-    found = []
-    for r in licenses.rules():
-        for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", words):
-            found.append((m.start(), m.end(), r))
-    kept = {r.label for a, b, r in found if not any((c, d) != (a, b) and c <= a and b <= d and other.priority >= r.priority for c, d, other in found) and not any((c, d) == (a, b) and (other.priority, ) > (r.priority, ) for c, d, other in found)}
-    return kept - {""} | {r.label for _, _, r in found if r.base}
+    found = plain_found(text)
+
+    def hides(one, two):
+        (a, b, x), (c, d, y) = one, two
+        return a <= c and d <= b and x.priority >= y.priority and ((a, b) != (c, d) or x.priority > y.priority or x.order < y.order)
+
+    kept = [x for a, b, x in found if not any(hides(other, (a, b, x)) for other in found) and x.label]
+    base = {x.label for _, _, x in found if not x.priority}
+    return {x.label for x in kept} | base, max([x.confidence for x in kept] + [0.9] * bool(base), default=0.0)
 
 
 TEXTS = [
@@ -102,15 +114,61 @@ def test_licenses_equal_plain(spark, docs):
     table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for r in licenses.scan(table).collect():
         assert tuple(r)[1:6] == plain_base(texts[r.id]), texts[r.id]
-        assert set(filter(None, r.labels.split(","))) == plain_labels(texts[r.id]), texts[r.id]
-        assert 0 <= r.score <= 1 and bool(r.labels) == bool(r.score)
+        assert (set(filter(None, r.labels.split(","))), r.score) == plain_labels(texts[r.id]), texts[r.id]
 
 
 def test_licenses_odd_rows(odd, none):
     found = licenses.scan(odd).select("id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
     assert Counter(map(tuple, found)) == Counter((d[0], *plain_base(d[1])) for d in ODD)
     assert licenses.scan(none).count() == 0
-    assert len(licenses.rules()) > 300
+
+
+def example(parsed, rng):
+    """A string that a parsed pattern matches."""
+    out = ""
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "IN":
+            what, chosen = rng.choice(value)
+            out += chr(chosen if str(what) == "LITERAL" else rng.choice(chosen))
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = value
+            out += "".join(example(inner, rng) for _ in range(rng.randint(least, min(most, 12))))
+        elif kind == "SUBPATTERN":
+            out += example(value[3], rng)
+        elif kind == "BRANCH":
+            out += example(rng.choice(value[1]), rng)
+        else:
+            raise AssertionError(kind)
+    return out
+
+
+def test_every_signature_passes_gate_and_keywords(spark):
+    """Sentences that each signature matches, at random, in odd spelling."""
+    rng = random.Random(11)
+    texts = {}
+    for x, pattern in SIGNATURES:
+        for _ in range(4):
+            words = example(re._parser.parse(pattern.pattern), rng).split()
+            texts[len(texts)] = "A " + "".join(w.upper() + rng.choice([" ", "  ", "-", ".\n", ", "]) for w in words) + "b"
+            assert any(y is x for _, _, y in plain_found(texts[len(texts) - 1])), x
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in licenses.scan(table).collect():
+        assert Counter((d.start, -d.minus_end, d.order) for d in r.found) == Counter((a, b, x.order) for a, b, x in plain_found(texts[r.id])), texts[r.id]
+        assert (set(filter(None, r.labels.split(","))), r.score) == plain_labels(texts[r.id]), texts[r.id]
+    assert len(SIGNATURES) > 250 and len({(x.priority, x.label, x.pattern) for x, _ in SIGNATURES}) == len(SIGNATURES)
+
+
+def test_licenses_of_very_many_matches(spark):
+    one = "Released under the MIT license. "
+    texts = [one * 300, one * 70_000, "see cc by nc " * 1000 + "under the mit license"]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("id").collect()
+    for r in found:
+        assert tuple(r)[1:6] == plain_base(texts[r.id])
+    assert (set(found[0].labels.split(",")), found[0].score) == plain_labels(texts[0])
+    assert (found[1].labels, found[1].score) == (found[0].labels, found[0].score)
 
 
 def plain_rule(url):

@@ -14,7 +14,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words in texts whose capitals still stand.
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: What no word holds, and so can mark where a match begins and ends.
-FIRST, LAST = "\x01", "\x02"
+FIRST, LAST = "<", ">"
 TOP = max(CONFIDENCE)
 
 

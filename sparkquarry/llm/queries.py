@@ -107,10 +107,10 @@ _SIGNED = ", ".join(f"({x.order}, {x.priority}, {_quoted(x.label)}, {_quoted(x.k
 
 #: Matches are marked, split into words, and held against each other pair by pair.
 _OP8 = f"""WITH signed AS (SELECT * FROM (VALUES {_SIGNED}) AS t(k, priority, label, keyword, pattern, worth)),
-  docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+  docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
   joined AS (SELECT r, ' ' || array_to_string(words, '  ') || ' ' AS held FROM docs),
-  marked AS (SELECT r, k, priority, label, worth, string_split(regexp_replace(held, pattern, ' ' || chr(1) || '\1' || chr(2) || ' ', 'g'), '  ') AS w FROM joined JOIN signed ON contains(held, keyword) WHERE regexp_matches(held, pattern)),
-  ends AS (SELECT *, [i for i in range(1, len(w) + 1) if contains(w[i], chr(1))] AS a, [i for i in range(1, len(w) + 1) if contains(w[i], chr(2))] AS b FROM marked),
+  marked AS (SELECT r, k, priority, label, worth, string_split(regexp_replace(held, pattern, ' <\\1> ', 'g'), '  ') AS w FROM joined JOIN signed ON contains(held, keyword) WHERE regexp_matches(held, pattern)),
+  ends AS (SELECT *, [i for i in range(1, len(w) + 1) if contains(w[i], '<')] AS a, [i for i in range(1, len(w) + 1) if contains(w[i], '>')] AS b FROM marked),
   hits AS (SELECT r, k, priority, label, worth, unnest(a) - 1 AS s, unnest(b) AS e FROM ends),
   kept AS (SELECT * FROM hits h WHERE label <> '' AND NOT EXISTS (SELECT 1 FROM hits g WHERE g.r = h.r AND g.s <= h.s AND g.e >= h.e AND g.priority >= h.priority AND (g.s < h.s OR g.e > h.e OR g.priority > h.priority OR g.k < h.k))),
   base AS (SELECT r, count(*) AS n, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hits WHERE priority = 0 GROUP BY r),

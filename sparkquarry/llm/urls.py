@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,9 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 SAMPLE = 6000
 #: Parts that the rows of one suffix are dealt into: few suffixes have most of the rows.
 PARTS = 32
-TREES, DEPTH, BINS, RATE, PENALTY, LEAST, SMOOTH = 10, 3, 16, 0.3, 1.0, 1.25, 10.0
+TREES, DEPTH, BINS, RATE, PENALTY, LEAST, SMOOTH = 30, 3, 32, 0.3, 1.0, 1.25, 10.0
+#: A URL that the trees learn from sees the statistics of the other parts alone, so no label is known to its own features.
+FOLDS = 5
 FEATURES = ("url_length", "host_length", "labels", "hyphens", "depth", "path_length", "digit_ratio", "host_digits", "entropy", "parameters", "suffix_share", "domain_share")
 
 
@@ -101,33 +104,31 @@ def _value(tree) -> Column:
 
 def train(labelled: DataFrame) -> Trees:
     """Boosts trees on URLs (url, host, path and `label`, 1: block, 0: allow): at most SAMPLE different ones, those that come
-    first by a hash of the URL. The shares of suffixes and domains are counted over all rows. Every split is chosen from sums of
-    gradients by node, feature and bin, which one aggregation gives: what comes to the driver is bounded by nodes, features
-    and bins. No rows, or one label only: no trees, and the base score says what was seen."""
-    counts = checkpointed(lexical(labelled, "url").groupBy("suffix", "domain").agg(F.sum("label").alias("ones"), F.count("*").alias("n")))
+    first by a hash of the URL. The shares of suffixes and domains are counted over all rows; for a URL of the sample, over
+    those of the other folds. The sample's features, a bounded table of numbers, come to the driver, which chooses the
+    splits. No rows, or one label only: no trees, and the base score says what was seen."""
+    counts = checkpointed(lexical(labelled, "url").groupBy("suffix", "domain", _fold().alias("fold")).agg(F.sum("label").alias("ones"), F.count("*").alias("n")))
     n, ones = counts.agg(F.sum("n"), F.sum("ones")).first()
     n, ones = n or 0, ones or 0
     if not n or ones in (0, n):
         return Trees(base=_log_odds(ones + 0.5, n - ones + 0.5) if n else -5.0)
-    sample = checkpointed(_sampled(labelled))
     # both labels weigh alike in all: what is known of neither stands in the middle
     block, allow = n / (2 * ones), n / (2 * (n - ones))
-    shares = {}
+    share = lambda yes, no: (yes + SMOOTH / 2) / (yes + no + SMOOTH)
+    shares, sample = {}, _sampled(labelled).withColumn("fold", _fold())
     for key in ("suffix", "domain"):
-        found = counts.groupBy(key).agg((block * F.sum("ones")).alias("yes"), (allow * (F.sum("n") - F.sum("ones"))).alias("no"))
-        shares[key] = checkpointed(found.select(key, ((F.col("yes") + SMOOTH / 2) / (F.col("yes") + F.col("no") + SMOOTH)).alias(f"{key}_share")))
-    n, ones = sample.agg(F.count("*"), F.sum("label")).first()
-    block, allow = n / (2 * max(ones, 1)), n / (2 * max(n - ones, 1))
-    model = Trees(0.0, [], shares["suffix"], shares["domain"])
-    sample = model.with_statistics(sample).withColumn("weight", F.when(F.col("label") == 1, block).otherwise(allow))
-    quantiles = sample.agg(*[F.array_distinct(F.percentile_approx(name, [k / BINS for k in range(BINS + 1)], 10_000)).alias(name) for name in FEATURES]).first().asDict()
-    # cuts lie between values, so that a value never seen goes with the nearer ones
-    edges = {name: [(a + b) / 2 for a, b in zip(q, q[1:])] for name, q in quantiles.items()}
-    binned = {name: reduce(lambda c, k: F.when(F.col(name) <= edges[name][k], F.lit(k)).otherwise(c), reversed(range(len(edges[name]))), F.lit(len(edges[name]))) for name in FEATURES}
-    sample = checkpointed(sample.select("label", "weight", *FEATURES, F.array(*[F.struct(F.lit(i).alias("feature"), b.alias("bin")) for i, b in enumerate(binned.values())]).alias("bins"))).coalesce(1)  # SAMPLE rows: one task sums them without a shuffle
-    for _ in range(TREES):
-        model.trees.append(_tree(sample, model.score(), edges))
-    return model
+        parts = counts.groupBy(key, "fold").agg((block * F.sum("ones")).alias("own_yes"), (allow * (F.sum("n") - F.sum("ones"))).alias("own_no"))
+        found = parts.groupBy(key).agg(F.sum("own_yes").alias("yes"), F.sum("own_no").alias("no"))
+        shares[key] = checkpointed(found.select(key, share(F.col("yes"), F.col("no")).alias(f"{key}_share")))
+        others = parts.join(found, key).select(key, "fold", share(F.greatest(F.col("yes") - F.col("own_yes"), F.lit(0.0)), F.greatest(F.col("no") - F.col("own_no"), F.lit(0.0))).alias(f"{key}_share"))
+        sample = sample.join(others, [key, "fold"])
+    learnt = np.array(sample.select("label", *FEATURES).collect(), np.float64)
+    learnt = learnt[np.lexsort(learnt.T)]
+    return Trees(0.0, boosted(learnt[:, 1:], learnt[:, 0]), shares["suffix"], shares["domain"])
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
 
 
 def _sampled(labelled: DataFrame) -> DataFrame:
@@ -136,65 +137,53 @@ def _sampled(labelled: DataFrame) -> DataFrame:
 
 
 def _log_odds(yes: float, no: float) -> float:
-    from math import log
-
-    return log(yes / no)
-
-
-def _tree(sample: DataFrame, score: Column, edges: dict[str, list[float]]):
-    """One tree, a level at a time. A split's two sums are those of its children, so the last level needs no pass."""
-    chance = 1 / (1 + F.exp(-score))
-    rows = sample.select(*FEATURES, "bins", (F.col("weight") * (chance - F.col("label"))).alias("g"), (F.col("weight") * chance * (1 - chance)).alias("h"))
-    splits: dict[int, tuple[int, float]] = {}
-    leaves: dict[int, float] = {}
-    for level in range(DEPTH):
-        node = F.lit(1)
-        for k, (feature, threshold) in sorted(splits.items()):
-            node = F.when(node == k, F.when(F.col(FEATURES[feature]) <= threshold, F.lit(2 * k)).otherwise(F.lit(2 * k + 1))).otherwise(node)
-        sums = rows.withColumn("node", node).select("node", "g", "h", F.explode("bins").alias("at")).groupBy("node", "at.feature", "at.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-        by_node: dict[int, dict[int, dict[int, tuple[float, float]]]] = {}
-        for r in sums:
-            by_node.setdefault(r.node, {}).setdefault(r.feature, {})[r.bin] = (r.g, r.h)
-        grew = False
-        for k, histograms in by_node.items():
-            if k < 2**level:
-                continue
-            split, left, whole = _best_split(histograms, edges)
-            leaves[k] = _leaf(*whole)
-            if split:
-                splits[k], grew = split, True
-                leaves[2 * k], leaves[2 * k + 1] = _leaf(*left), _leaf(whole[0] - left[0], whole[1] - left[1])
-        if not grew:
-            break
-
-    def build(k: int):
-        if k not in splits:
-            return leaves.get(k, 0.0)
-        return FEATURES[splits[k][0]], splits[k][1], build(2 * k), build(2 * k + 1)
-
-    return build(1)
-
-
-def _leaf(g: float, h: float) -> float:
-    return round(-RATE * g / (h + PENALTY), 9)
-
-
-def _best_split(histograms: dict[int, dict[int, tuple[float, float]]], edges: dict[str, list[float]]):
-    """((feature, threshold) or None, sums on its left, sums of the node); gains are rounded, so that the order in which
-    gradients were added doesn't choose between equal ones."""
-    g, h = (sum(x[i] for x in histograms[0].values()) for i in (0, 1))
+    return float(np.log(yes / no))
+
+
+def boosted(x: np.ndarray, y: np.ndarray) -> list:
+    """Trees for a table of features and labels, by gradients of the log loss; labels weigh alike in all."""
+    edges = [_cuts(column) for column in x.T]
+    bins = np.stack([np.searchsorted(e, column, "left") for e, column in zip(edges, x.T, strict=True)], axis=1)
+    weight = np.where(y == 1, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max(len(y) - y.sum(), 1)))
+    score, trees = np.zeros(len(y)), []
+    for _ in range(TREES):
+        chance = 1 / (1 + np.exp(-score))
+        g, h = weight * (chance - y), weight * chance * (1 - chance)
+        tree = _tree(bins, edges, g, h, np.arange(len(y)), DEPTH, score)
+        if isinstance(tree, float):
+            break  # nothing is left to split
+        trees.append(tree)
+    return trees
+
+
+def _cuts(column: np.ndarray) -> np.ndarray:
+    """Up to BINS - 1 cuts between the values of a feature, at their quantiles, so that a value never seen goes with the nearer ones."""
+    values = np.unique(column)
+    if len(values) > BINS:
+        values = np.unique(np.quantile(column, np.linspace(0, 1, BINS), method="lower"))
+    return (values[1:] + values[:-1]) / 2
+
+
+def _tree(bins: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int, score: np.ndarray):
+    """The best tree over some rows, whose leaves are added to their scores. Gains are rounded, and the first of equal splits is taken."""
+    whole_g, whole_h = g[rows].sum(), h[rows].sum()
     gain_of = lambda a, b: a * a / (b + PENALTY)
-    most, split, left = 1e-6, None, (0.0, 0.0)
-    for feature, bins in sorted(histograms.items()):
-        left_g = left_h = 0.0
-        for b in sorted(bins)[:-1]:
-            left_g, left_h = left_g + bins[b][0], left_h + bins[b][1]
-            if min(left_h, h - left_h) < LEAST:
-                continue
-            gain = round(gain_of(left_g, left_h) + gain_of(g - left_g, h - left_h) - gain_of(g, h), 6)
-            if gain > most:
-                most, split, left = gain, (feature, float(edges[FEATURES[feature]][b])), (left_g, left_h)
-    return split, left, (g, h)
+    most, split = 1e-6, None
+    for feature in range(bins.shape[1] if depth else 0):
+        of, n = bins[rows, feature], len(edges[feature]) + 1
+        left_g, left_h = (np.cumsum(np.bincount(of, v[rows], n))[:-1] for v in (g, h))
+        gain = np.round(gain_of(left_g, left_h) + gain_of(whole_g - left_g, whole_h - left_h) - gain_of(whole_g, whole_h), 6)
+        gain[(np.minimum(left_h, whole_h - left_h) < LEAST)] = 0
+        if len(gain) and gain.max() > most:
+            most, split = gain.max(), (feature, int(gain.argmax()))
+    if split is None:
+        leaf = round(float(-RATE * whole_g / (whole_h + PENALTY)), 9)
+        score[rows] += leaf
+        return leaf
+    feature, cut = split
+    low = bins[rows, feature] <= cut
+    left, right = (_tree(bins, edges, g, h, rows[side], depth - 1, score) for side in (low, ~low))
+    return FEATURES[feature], float(edges[feature][cut]), left, right
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled: DataFrame | None = None, url_of: str = "url", label_of: str = "label") -> DataFrame:

@@ -1,6 +1,7 @@
 """URL filters, exact duplicates and license scans against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -206,6 +207,44 @@ def test_urls_odd_rows(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_urls_of_odd_characters(spark):
+    """Hosts that mean something in SQL, regular expressions or substitution, and very long ones, are statistics like any others."""
+    odd = ["${a}.com", "${b}.com", "$1.net", "'; drop", '"q".net', "a\\b.com", "%s.com", "{{x}}.net", "`b`.com", "a.b.c.d.e.f.g.com", "x" * 70_000 + ".net", ".com", "..net", "com", "\u0000.com"]
+    rows = [(k, f"http://{host}/{path}") for k, (host, path) in enumerate((h, p) for h in odd for p in ("es/", "fr/x", "", "y" * 3000))]
+    found = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r.host, r.path, r.rule) == plain_rule(r.url)[:3] and 0 <= r.score <= 1
+
+
+def plain_score(trees, row):
+    total = 0.0
+    for tree in trees:
+        while not isinstance(tree, float):
+            name, cut, low, high = tree
+            tree = low if row[name] <= cut else high
+        total += tree
+    return 1 / (1 + math.exp(-total))
+
+
+def test_verdicts_are_those_of_the_trees(spark):
+    """The score of every page from its features, walked tree by tree."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    host, path = urls.split_url(F.col("url"))
+    own = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    _, what = urls.rule_of(F.col("host"), F.col("path"))
+    known = own.withColumn("by_rule", what).where("by_rule IS NOT NULL").select("url", "host", "path", (F.col("by_rule") == "block").cast("int").alias("label"))
+    model = urls.train(known)
+    assert model.trees
+    features = {r.page_id: r for r in model.with_statistics(urls.lexical(own, "url")).collect()}
+    for r in queries.op1_urls(spark, SMALL).collect():
+        assert r.score == pytest.approx(plain_score(model.trees, features[r.page_id]))
+        if r.rule is None:
+            assert r.verdict == ("block" if r.score > 0.5 else "allow")
+
+
 def test_trees_learn_what_is_labelled(spark):
     def url(k):
         bad = k % 3 == 0

@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -28,6 +28,37 @@ def id_and_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given that the table doesn't have, for columns beside its own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_key(text_col: str) -> Column:
+    """What tells rows of one id, or of none, apart."""
+    return F.xxhash64(F.col(text_col).cast("binary"))
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of `docs` for each `component` of its rows (id, key, component), in the order of ids, null ones last, then keys;
+    of rows alike in id and key one. Rows that go are looked up; those that stay don't move unless they repeat."""
+    row = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("key").alias("key"))
+    firsts = grouped.groupBy("component").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone_id, gone_key, copy = free_names(docs, "gone_id", "gone_key", "copy")
+    gone = grouped.join(firsts, "component").where(row != F.col("first")).select(F.col("id").alias(gone_id), F.col("key").alias(gone_key)).distinct()
+    left = docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col(gone_id)) & text_key(text_col).eqNullSafe(F.col(gone_key)), "left_anti")
+    if grouped.groupBy("id", "key").count().where("count > 1").limit(1).count():
+        alike = Window.partitionBy(F.col(id_col).cast("long"), text_key(text_col)).orderBy(text_key(text_col))
+        left = left.withColumn(copy, F.row_number().over(alike)).where(F.col(copy) == 1).drop(copy)
+    return left
+
+
 def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     """The rows of a batch one at a time, so that a batch of long texts isn't held twice."""
     columns = [batch.column(i) for i in range(batch.num_columns)]
@@ -35,11 +66,21 @@ def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield tuple(c[i].as_py() for c in columns)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder, so a lost executor costs no recomputation."""
-    session = df.sparkSession
+def shared_folder(session: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it. Without that setting, a local session takes a
+    temporary folder and a cluster one next to its warehouse."""
     context = session.sparkContext
+    folder = session.conf.get("spark.checkpoint.dir", None)
+    if not folder and (given := context._jsc.sc().getCheckpointDir()).isDefined():
+        folder = given.get()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="checkpoint-") if context.master.startswith("local") else session.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = session.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage through the shared checkpoint folder, so a lost executor costs no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import arrow_map
-from .common import checkpointed, id_and_bytes, rows
+from .common import checkpointed, id_and_bytes, keep_first, rows, text_key
 from .components import connected_components
 
 SEED = 42
@@ -49,13 +49,18 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp) of every row; null and empty texts have fingerprint zero. Null ids and repeated rows stay."""
+    return _marked(id_and_bytes(docs, id_col, text_col), "id long", width)
+
+
+def _marked(held: DataFrame, own: str, width: int) -> DataFrame:
+    """Rows of some columns and a text last, with the fingerprint in place of the text."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            found = [fingerprint(text, width) for _, text in rows(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
+            found = [fingerprint(text, width) for *_, text in rows(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*batch.schema.names[:-1], "fp"])
 
-    return arrow_map(id_and_bytes(docs, id_col, text_col), batches, "id long, fp long")
+    return arrow_map(held, batches, own + ", fp long")
 
 
 def counts_in_unary(fp: Column) -> Column:
@@ -98,23 +103,30 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
     """(id, fp, component_id) of every row: the smallest id among the rows that chains of links reach.
 
-    Rows of one fingerprint are one node, so copies are never paired with each other. A component whose
-    rows all lack an id has a null component_id. An empty table gives an empty result.
+    Null and empty texts have fingerprint zero and are linked like any others. Rows of one fingerprint are one node, so copies
+    are never paired with each other. A component whose rows all lack an id has a null component_id. An empty table gives an
+    empty result.
     """
     marked = checkpointed(fingerprints(docs, id_col, text_col, width))
+    return marked.join(_components(marked, distance), "fp").select("id", "fp", F.col("first").alias("component_id"))
+
+
+def _components(marked: DataFrame, distance: int) -> DataFrame:
+    """(fp, component, first): each fingerprint's component, named by its smallest fingerprint, and the smallest id in it."""
     nodes = marked.groupBy("fp").agg(F.min("id").alias("first"))
-    grouped = nodes.join(connected_components(links(nodes.select("fp"), distance)), nodes.fp == F.col("node"), "left")
-    named = grouped.select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(firsts, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("id", "fp", "component_id")
+    found = connected_components(links(nodes.select("fp"), distance))
+    named = nodes.join(found, nodes.fp == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    firsts = named.groupBy("component").agg(F.min("first").alias("first"))
+    return named.select("fp", "component").join(firsts, "component").select("fp", "component", "first")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of `docs` that are the first of their component, with all their columns.
+    """One row of `docs` for each component, with all its columns: the one of the smallest id, those without an id last.
 
-    Ids should be unique; rows without an id are never dropped, and of rows that share an id all stay or go.
+    Null texts count as empty ones. Ids may repeat or be null; of rows alike in id and text one stays. An empty table stays
+    empty. Columns of any name pass through untouched.
     """
-    found = near_duplicates(docs, id_col, text_col, width, distance)
-    gone = found.where(F.col("component_id") < F.col("id")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    held = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    marked = checkpointed(_marked(held, "id long, key long", width))
+    grouped = marked.join(_components(marked, distance), "fp").select("id", "key", F.col("component"))
+    return keep_first(docs, grouped, id_col, text_col)

@@ -210,6 +210,39 @@ def test_runs_of_blanks_have_parity():
         assert np.frombuffer(ids, "<i4").tolist() == native.encode(text)
 
 
+def test_all_texts_have_parity(spark, odd):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert sentencepieces.parity(docs, path).where("NOT same").count() == 0
+    assert Counter(r.same for r in sentencepieces.parity(odd, path).collect()) == Counter({True: len(ODD)})
+
+
+def test_a_broken_backend_is_caught(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    true = sentencepieces.Model.merges
+    monkeypatch.setattr(sentencepieces.Model, "merges", lambda self: true(self)[::-1])
+    broken = sentencepieces.Codec(path)
+    with pytest.raises(sentencepieces.Different):
+        list(broken.encode([" ".join(f"{a}{b}{c}" for a in ("inter", "trans", "re", "con", "de") for b in ("ac", "la", "na", "duc", "mo", "vo", "sta") for c in ("tion", "tional", "ting", "ted", "tive"))]))
+
+
+def test_words_without_blanks_are_not_remembered():
+    own = sentencepieces.Codec(public_tokenizers.path("piece_bpe_32k.model"), verify=1)
+    native = own.native
+    texts = ["漢字仮名" * 300 + str(k) for k in range(20)] + ["short words are " * 9, "x" * 65 + " y", ""]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<i4").tolist() == native.encode(text)
+    assert max(map(len, own.memo)) <= sentencepieces.LONGEST and own.held < 10_000
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "MEMO", 1000)
+    own = sentencepieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    for k in range(30):
+        assert np.frombuffer(next(own.encode([f"some words {k} and {k * k}"])), "<i4").tolist() == own.native.encode(f"some words {k} and {k * k}")
+        assert own.held < 3000
+
+
 def test_unigram_models_are_rebuilt(tmp_path):
     def varint(n):
         return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,21 +17,27 @@ from tokenizers import Tokenizer
 from ..session import arrow_map
 from .common import id_and_bytes, rows
 
-#: Pieces whose counts a worker remembers before it forgets them all and starts anew.
-MEMO = 600_000
+#: Bytes of pieces and counts that a worker remembers before it forgets them all and starts anew, what one costs besides its
+#: own, and the characters of the longest piece that is remembered.
+MEMO, COST, LONGEST = 80_000_000, 160, 64
+#: Pairs of tokens of which a worker remembers whether they can stand next to each other.
+PAIRS = 1_000_000
 #: The published split pattern of this family of vocabularies.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Characters of which every Unicode version in use says the same; other texts are split by the library.
 PLAIN = regex.compile(r"[\t-\r -~¡-¬®-ȟ‐-‧‰-⁞€]*")
+#: Pieces of the pattern that, with their last letter off, are two.
+BROKEN = ("'re", "'ve", "'ll")
 
 
 class PrefixCounter:
     """Exact token counts of a text and of each of its prefixes.
 
-    The text is cut into pieces that merges never cross. dp[k], the count at the end of piece k, is dp[k-1]
-    plus the piece's own count, so every text needs one pass, and a count at any prefix, or the longest
-    prefix within a budget, is then a lookup plus the pieces next to the cut: those alone can be split
-    otherwise when the text ends there.
+    The text is cut into pieces that merges never cross. Within a piece, dynamic programming over its prefixes: the
+    encoding of a prefix is that of a shorter one and a last token, and of all tokens that end there exactly one can
+    stand next to the shorter one's own last token, so each prefix takes a few lookups and none is encoded. The count at a
+    prefix of the text is what the pieces before it add up to, plus the count within its piece; a prefix that ends in a
+    run of blanks ends in one piece, and one that ends in a special token's string has no such token.
     """
 
     def __init__(self, path: str):
@@ -41,8 +46,18 @@ class PrefixCounter:
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.merger = _merger(path)
-        self.memo: dict[str, int] = {}
+        self.merger, ranks = _merger(path)
+        # a token that merges never reach is the last of no prefix
+        self.ranks = {token: rank for token, rank in ranks.items() if self.merger._encode_single_piece(token) == [rank]}
+        self.token = {rank: token for token, rank in self.ranks.items()}
+        sizes: dict[bytes, set[int]] = {}
+        for token in self.ranks:
+            sizes.setdefault(token[-2:], set()).add(len(token))
+        #: the lengths of the tokens that end in two bytes, longest first; any single byte is a token too
+        self.sizes = {end: tuple(sorted(found | {1}, reverse=True)) for end, found in sizes.items() if len(end) == 2}
+        self.fits: dict[int, bool] = {}
+        self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def pieces(self, text: str) -> list[str]:
         if not self.at_special:
@@ -57,49 +72,102 @@ class PrefixCounter:
             return PATTERN.findall(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def counts(self, pieces: list[str]) -> list[int]:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        found = list(map(memo.get, pieces))
-        if None in found:
-            for k, n in enumerate(found):
-                if n is None:
-                    piece = pieces[k]
-                    if (n := memo.get(piece)) is None:
-                        n = memo[piece] = 1 if piece in self.specials else len(self.merger.encode_ordinary(piece))
-                    found[k] = n
-        return found
-
-    def table(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(ends, dp): where each piece ends, in characters, and the count of the text up to there."""
+    def _adjacent(self, one: int, two: int) -> bool:
+        key = one << 20 | two
+        if (known := self.fits.get(key)) is None:
+            if len(self.fits) > PAIRS:
+                self.fits.clear()
+            known = self.fits[key] = self.merger._encode_single_piece(self.token[one] + self.token[two]) == [one, two]
+        return known
+
+    def within(self, piece: str) -> np.ndarray:
+        """The counts of a piece's prefixes, by characters, as if merges were all that there is."""
+        raw = piece.encode()
+        counts, last = [0] * (len(raw) + 1), [-1] * (len(raw) + 1)
+        get, sizes, adjacent = self.ranks.get, self.sizes, self._adjacent
+        for end in range(1, len(raw) + 1):
+            for size in sizes.get(raw[end - 2 : end], (1,)) if end > 1 else (1,):
+                start = end - size
+                if start < 0 or (rank := get(raw[start:end])) is None or start and not adjacent(last[start], rank):
+                    continue
+                counts[end], last[end] = counts[start] + 1, rank
+                break
+        found = np.array(counts[1:], np.int32)
+        return found if len(raw) == len(piece) else found[np.cumsum([len(c.encode()) for c in piece]) - 1]
+
+    def counts(self, piece: str) -> bytes | np.ndarray:
+        """The counts of a piece's prefixes: a byte each, or numbers where a piece is too long to be remembered."""
+        if piece in self.specials:
+            return bytes([1] * len(piece))
+        found = self.within(piece)
+        if piece in BROKEN:
+            found[1] = 2
+        if len(piece) > LONGEST:
+            return found
+        raw = self.memo[piece] = found.astype(np.uint8).tobytes()
+        self.held += 2 * len(piece) + COST
+        return raw
+
+    def total(self, piece: str) -> int:
+        return int((self.memo.get(piece) or self.counts(piece))[-1])
+
+    def table(self, text: str) -> np.ndarray:
+        """The token count of every prefix, by its last character."""
         pieces = self.pieces(text)
-        n = len(pieces)
-        return np.cumsum(np.fromiter(map(len, pieces), np.int64, n)), np.cumsum(np.fromiter(self.counts(pieces), np.int64, n))
-
-    def at(self, text: str, cut: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """The token count of text[:cut]."""
-        ends, dp = table or self.table(text)
-        cut = min(max(cut, 0), len(text))
-        # a cut can change how the last pieces before it are split, but none that ends before a piece of another kind
-        k = max(int(np.searchsorted(ends, cut, "left")) - 2, 0)
-        while k and (text[ends[k - 1] - 1].isspace() or any(s.startswith(text[ends[k - 1] - 1]) for s in self.specials)):
-            k -= 1
-        start, before = (int(ends[k - 1]), int(dp[k - 1])) if k else (0, 0)
-        return before + sum(self.counts(self.pieces(text[start:cut])))
-
-    def cut_within(self, text: str, budget: int, table: tuple[np.ndarray, np.ndarray] | None = None) -> int:
-        """The longest run of whole pieces from the start, in characters, whose tokens fit the budget."""
-        ends, dp = table or self.table(text)
-        k = bisect_right(dp, budget)
-        while k and self.at(text, int(ends[k - 1]), (ends, dp)) > budget:
+        if not pieces:
+            return np.zeros(0, np.int32)
+        if self.held > MEMO:
+            self.memo.clear()
+            self.held = 0
+        found = list(map(self.memo.get, pieces))
+        if None in found:
+            for k, counts in enumerate(found):
+                if counts is None:
+                    known = self.memo.get(pieces[k])
+                    found[k] = self.counts(pieces[k]) if known is None else known
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        own = np.fromiter((c[-1] for c in found), np.int64, len(found))
+        before = np.cumsum(own) - own
+        if all(type(c) is bytes for c in found):
+            held = np.frombuffer(b"".join(found), np.uint8)
+        else:
+            held = np.concatenate([np.frombuffer(c, np.uint8) if type(c) is bytes else c for c in found])
+        out = (np.repeat(before, sizes) + held).astype(np.int32)
+        starts = np.cumsum(sizes) - sizes
+        for k in [k for k in range(1, len(pieces)) if pieces[k][0].isspace() and pieces[k - 1].isspace()]:
+            out[starts[k]] = before[k - 1] + self.total(pieces[k - 1] + pieces[k][0])
+        for k in [k for k, piece in enumerate(pieces) if piece in self.specials] if self.at_special and self.at_special.search(text) else ():
+            for cut in range(int(starts[k]) + 1, int(starts[k] + sizes[k])):
+                out[cut - 1] = self._recounted(text, cut, k, pieces, starts, before)
+        return out
+
+    def _recounted(self, text: str, cut: int, k: int, pieces: list[str], starts: np.ndarray, before: np.ndarray) -> int:
+        """The count of a prefix that ends within the special token k: its string is split with what stands before it, from a piece on
+        that no such string can change."""
+        k = max(k - 2, 0)
+        while k and (pieces[k - 1][-1].isspace() or pieces[k - 1] in self.specials):
             k -= 1
-        return int(ends[k - 1]) if k else 0
+        return int(before[k]) + sum(self.total(p) for p in self.pieces(text[int(starts[k]) : cut]))
+
+    def at(self, text: str, cut: int, table: np.ndarray | None = None) -> int:
+        """The token count of text[:cut], from the table."""
+        table = self.table(text) if table is None else table
+        cut = min(max(cut, 0), len(table))
+        return int(table[cut - 1]) if cut else 0
+
+    def cut_within(self, text: str, budget: int, table: np.ndarray | None = None) -> int:
+        """The length in characters of the longest prefix whose tokens fit the budget, from the table."""
+        return longest(self.table(text) if table is None else table, budget)
 
 
-def _merger(path: str) -> tiktoken.Encoding:
-    """The merges of the file for single pieces: a merge's rank is its place in the file. The whole library gives every
-    piece its offsets and masks besides, at many times the cost of a count."""
+def longest(table: np.ndarray, budget: int) -> int:
+    """The length of the longest prefix within a budget. Counts can fall from one prefix to the next, so it is the last that fits."""
+    fits = np.flatnonzero(table <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
+
+
+def _merger(path: str) -> tuple[tiktoken.Encoding, dict[bytes, int]]:
+    """The merges of the file for single pieces, and the tokens by rank: a merge's rank is its place in the file."""
     with open(path, encoding="utf-8") as f:
         merges = json.load(f)["model"]["merges"]
     # the published stand-ins for bytes: printable ones are themselves, the rest follow from 256 on
@@ -109,7 +177,7 @@ def _merger(path: str) -> tiktoken.Encoding:
     for k, pair in enumerate(merges):
         one, two = pair if isinstance(pair, list) else pair.split(" ")
         ranks.setdefault(bytes(byte_of[c] for c in one + two), 256 + k)
-    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}), ranks
 
 
 @lru_cache(1)
@@ -117,20 +185,19 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def pack(ends: np.ndarray, dp: np.ndarray) -> bytes:
-    """The table as pairs of steps, one byte each where they fit, or four."""
-    steps = np.stack([np.diff(ends, prepend=0), np.diff(dp, prepend=0)])
-    wide = steps.size and int(steps.max()) > 255
-    return bytes([wide]) + steps.astype("<u4" if wide else "u1").tobytes()
+def pack(table: np.ndarray) -> bytes:
+    """The table as steps from prefix to prefix, one byte each where they fit, or four."""
+    steps = np.diff(table, prepend=table.dtype.type(0))
+    wide = steps.size and max(int(steps.max()), -int(steps.min())) > 127
+    return bytes([bool(wide)]) + steps.astype("<i4" if wide else "i1").tobytes()
 
 
-def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    steps = np.frombuffer(packed, "<u4" if packed[0] else "u1", offset=1).reshape(2, -1)
-    return tuple(np.cumsum(steps, axis=1, dtype=np.int64))
+def unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, "<i4" if packed[0] else "i1", offset=1), dtype=np.int32)
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, prefixes) of every row; `prefixes` is the packed table of counts.
+    """(id, n_bytes, n_tokens, prefixes) of every row; `prefixes` is the packed table of the counts at every prefix.
 
     `tokenizer` is the path of a byte-level BPE file that executors can read. Null texts count as empty: no
     bytes, no tokens. Strings of special tokens within texts are tokens, as the library has it by default.
@@ -142,10 +209,10 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in source:
             sizes, totals, tables = [], [], []
             for _, text in rows(batch):
-                ends, dp = count.table((text or b"").decode("utf-8", "replace"))
+                table = count.table((text or b"").decode("utf-8", "replace"))
                 sizes.append(len(text or b""))
-                totals.append(int(dp[-1]) if len(dp) else 0)
-                tables.append(pack(ends, dp))
+                totals.append(int(table[-1]) if len(table) else 0)
+                tables.append(pack(table))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array(tables, pa.binary())], ["id", "n_bytes", "n_tokens", "prefixes"])
 
     return arrow_map(id_and_bytes(docs, id_col, text_col), batches, "id long, n_bytes long, n_tokens long, prefixes binary")
@@ -154,3 +221,19 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 def over_budget(counts: DataFrame, budget: int) -> DataFrame:
     """Adds over_limit: whether a whole text needs more tokens than the budget."""
     return counts.withColumn("over_limit", F.col("n_tokens") > budget)
+
+
+def within_budget(counts: DataFrame, budget: int) -> DataFrame:
+    """(id, n_chars, n_tokens) of every row of counts: the longest prefix whose tokens fit the budget and its own count, read off the
+    stored tables; nothing is encoded again. The empty prefix fits any budget."""
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            sizes, totals = [], []
+            for _, packed in rows(batch):
+                table = unpack(packed)
+                sizes.append(longest(table, budget))
+                totals.append(int(table[sizes[-1] - 1]) if sizes[-1] else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())], ["id", "n_chars", "n_tokens"])
+
+    return arrow_map(counts.select("id", "prefixes"), batches, "id long, n_chars long, n_tokens long")

@@ -153,16 +153,51 @@ def test_tokens_odd_rows(odd, none):
     assert tokens.token_counts(none, path).count() == 0
 
 
+PREFIXED = (
+    ODD[7][1], "it's  \n\n  a<|endoftext|>b <|endoftext|", "\n\n\n x\t\ty '' 's 12 345,6", "  lead and trail  ", "they're we'll I've 'rest 've\n\nnew   line\r\n\r\n  x", "!!<|endoftext|>  <|endoftext|><|endo\n<|endoftext|>",
+    "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa b", "漢字かな交じり文を読む、長い文章。" * 8, "=" * 90 + "-" * 70 + " " * 90 + "x", "e\u0301e\u0301 naïve ½ ⅷ ٣٤ \u00a0\u2003 \u200b😀👩‍👩‍👧", "x" + "\n" * 7 + "\t" * 3 + "y \n z",
+)
+
+
 def test_counts_at_every_prefix():
     counter = tokens.counter(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in (ODD[7][1], "it's  \n\n  a<|endoftext|>b <|endoftext|", "\n\n\n x\t\ty '' 's 12 345,6", "  lead and trail  "):
-        table = tokens.unpack(tokens.pack(*counter.table(text)))
-        for cut in range(len(text) + 1):
-            expected = len(counter.library.encode(text[:cut], add_special_tokens=False).ids)
-            assert counter.at(text, cut, table) == expected
+    for text in PREFIXED:
+        table = tokens.unpack(tokens.pack(counter.table(text)))
+        expected = [len(counter.library.encode(text[:cut], add_special_tokens=False).ids) for cut in range(len(text) + 1)]
+        assert [counter.at(text, cut, table) for cut in range(len(text) + 1)] == expected, text
         for budget in range(12):
-            cut = counter.cut_within(text, budget, table)
-            assert len(counter.library.encode(text[:cut], add_special_tokens=False).ids) <= budget
+            assert counter.cut_within(text, budget, table) == max(cut for cut, n in enumerate(expected) if n <= budget)
+
+
+def test_counts_at_prefixes_of_documents(spark, docs):
+    """Cuts at random in every document, and budgets read off the stored tables."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    counter = tokens.counter(path)
+    rng = np.random.default_rng(2)
+    for d in docs:
+        table = counter.table(d.text)
+        assert len(table) == len(d.text)
+        for cut in rng.integers(0, len(d.text) + 1, 5).tolist():
+            assert counter.at(d.text, cut, table) == len(counter.library.encode(d.text[:cut], add_special_tokens=False).ids)
+    texts = {d.doc_id: d.text for d in docs}
+    for r in tokens.within_budget(tokens.token_counts(spark.read.parquet(f"{SMALL}/documents.parquet"), path), 100).collect():
+        encoded = len(counter.library.encode(texts[r.id][: r.n_chars], add_special_tokens=False).ids)
+        assert encoded == r.n_tokens <= 100 and (r.n_chars == len(texts[r.id]) or r.n_tokens >= 98)
+
+
+def test_a_budget_cuts_inside_a_piece():
+    counter = tokens.counter(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "a" * 3000 + " b"
+    cut = counter.cut_within(text, 100)
+    assert cut > 300 and len(counter.library.encode(text[:cut]).ids) <= 100 < len(counter.library.encode(text[: cut + 16]).ids)
+
+
+def test_a_very_long_text_without_breaks():
+    rng = np.random.default_rng(6)
+    counter = tokens.PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "".join(chr(97 + k) for k in rng.integers(0, 26, 300_000))
+    assert int(counter.table(text)[-1]) == len(counter.merger.encode_ordinary(text))
+    assert counter.held < 10_000
 
 
 def test_languages_held_out(spark):

@@ -3,9 +3,12 @@
 Every string of LENGTH bytes is dealt, by the smallest hash of the shorter strings in it, to one place where all
 strings equal to it are dealt too. Neighbouring strings of a text mostly share that hash, so a text becomes
 a few runs of strings; runs, not strings, are what moves. Runs that are equal as a whole need no comparison
-but of digests. Runs that share their hash and differ are fetched, and a suffix array of them is built
+but of their 128-bit digests. Runs that share their hash and differ are fetched, and a suffix array of them is built
 by two-stage sorting: suffixes smaller than their successors are sorted directly, the others follow by
 scanning buckets, and common prefixes of neighbours give the strings that stand more than once.
+
+A hash that very many different runs share, such as that of a common line, is too much for one place. Tasks that see many
+runs of it send a mark instead, and its strings are dealt one by one, by their own digests, of which each task sends the first.
 """
 
 from __future__ import annotations
@@ -24,20 +27,24 @@ from .common import checkpointed
 from .rolling import rolled
 
 LENGTH = 100
-#: Lengths of the hashed strings: the first for all runs, the others for hashes that so many different runs share.
+#: Length of the hashed strings.
 ANCHOR = 32
-FINER = ((2_000, 64), (200_000, 96))
+#: Different runs of one hash beyond which its strings are dealt one by one: among those that a task holds at once, and in all.
+LOCAL, MANY = 8, 2_000
 #: Rows that share an id are told apart by a number above the bits of the position.
 ROW_BITS = 40
-#: Positions hashed at once, and runs gathered before they are handed on.
-BLOCK, RUNS = 1 << 19, 1 << 19
-#: Places per shuffle partition.
-PLACES = 16
+#: Positions hashed at once, and runs, or single strings, gathered before they are handed on.
+BLOCK, RUNS = 1 << 19, 1 << 20
+#: Places per shuffle partition at least, and bytes of text to a place: more text takes more places, not larger ones.
+PLACES, PLACE_BYTES = 16, 16 << 20
+#: What a row of packed bytes holds.
+SPANS, REQUESTS, HELD, STRINGS = 0, 1, 2, 3
 #: Bytes that one suffix array is built over, unless one hash alone has more.
 ARRAY = 1 << 20
 
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_ROW = np.dtype([("anchor", "<u8"), ("digest", "<u8"), ("id", "<i8"), ("at", "<i8"), ("windows", "<i4"), ("self", "?")])
+_ROW = np.dtype([("anchor", "<u8"), ("digest", "<u8"), ("more", "<u8"), ("id", "<i8"), ("at", "<i8"), ("windows", "<i4"), ("self", "?")])
+_STRING = np.dtype([("digest", "<u8"), ("more", "<u8"), ("id", "<i8"), ("at", "<i8")])
 
 
 def _sliding(of, a: np.ndarray, width: int) -> np.ndarray:
@@ -74,26 +81,67 @@ def runs_of(text: bytes, anchor: int = ANCHOR, length: int = LENGTH) -> Iterator
 def text_runs(text: bytes, row: int, at: int) -> np.ndarray:
     """The runs of one text as rows; `at` holds what tells rows of one id apart."""
     parts = []
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
     for anchor, starts, ends, twice in runs_of(text):
         part = np.empty(len(starts), _ROW)
         part["anchor"], part["id"], part["at"], part["windows"], part["self"] = anchor, row, starts + at, ends - starts, twice
         reach = LENGTH - 1
-        part["digest"] = np.fromiter((digest(text[s : e + reach]) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+        part["digest"], part["more"] = np.frombuffer(b"".join([digest(text[s : e + reach]) for s, e in zip(starts.tolist(), ends.tolist())]), "<u8").reshape(-1, 2).T
         parts.append(part)
     return np.concatenate(parts) if parts else np.empty(0, _ROW)
 
 
-def _batch(place: list, ids: list, payload: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(ids, pa.int64()), pa.array(payload, pa.binary())], ["place", "id", "payload"])
+def _batch(place: list, kind: int, ids: list, payload: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(payload, pa.binary())], ["place", "kind", "id", "payload"])
+
+
+_BATCH = "place long, kind int, id long, payload binary"
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted rows begin a new key."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
+
+
+def _parts(key: np.ndarray) -> list[tuple[int, int]]:
+    """(begin, end) of the rows of each key, in order."""
+    bounds = np.append(np.flatnonzero(_heads(key)), len(key)).tolist() if len(key) else []
+    return list(zip(bounds[:-1], bounds[1:]))
 
 
 def _first_of_each(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs ordered by hash, digest and position, and which of them are the first of equal ones."""
-    runs = runs[np.lexsort((runs["at"], runs["id"], runs["digest"], runs["anchor"]))]
-    new = np.ones(len(runs), bool)
-    new[1:] = (runs["anchor"][1:] != runs["anchor"][:-1]) | (runs["digest"][1:] != runs["digest"][:-1]) | (runs["windows"][1:] != runs["windows"][:-1])
-    return runs, new
+    runs = runs[np.lexsort((runs["at"], runs["id"], runs["more"], runs["digest"], runs["anchor"]))]
+    return runs, _heads(runs["anchor"], runs["digest"], runs["more"], runs["windows"])
+
+
+def _packed(rows: np.ndarray) -> bytes:
+    """Column by column, so that the shuffle's compression finds the zeros."""
+    return b"".join(np.ascontiguousarray(rows[name]).tobytes() for name in rows.dtype.names)
+
+
+def _unpacked(payloads: list[bytes], kind: np.dtype) -> np.ndarray:
+    parts = [np.empty(0, kind)]
+    for payload in payloads:
+        n, offset = len(payload) // kind.itemsize, 0
+        part = np.empty(n, kind)
+        for name in kind.names:
+            part[name] = np.frombuffer(payload, kind[name], n, offset)
+            offset += n * kind[name].itemsize
+        parts.append(part)
+    return np.concatenate(parts)
+
+
+def _requests(runs: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(id, rows of position, bytes, `length` and hash) for the texts of runs."""
+    order = np.argsort(runs["id"], kind="stable")
+    runs, length = runs[order], length[order]
+    rows = np.empty((len(runs), 4), "<i8")
+    rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = runs["at"], runs["windows"] + (LENGTH - 1), length, runs["anchor"].view(np.int64)
+    for a, b in _parts(runs["id"]):
+        yield int(runs["id"][a]), rows[a:b].tobytes()
 
 
 def _covered(ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -112,22 +160,35 @@ def _covered(ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> Iterator[tupl
         yield int(ids[a]), np.stack([s[cut], e[last]], 1).astype("<i8").tobytes()
 
 
+def _sent(kind: int, found: list[tuple[int, bytes]], places: int) -> pa.RecordBatch:
+    return _batch([i % places for i, _ in found], kind, [i for i, _ in found], [x for _, x in found])
+
+
+def _dealt(kind: int, rows: np.ndarray, key: np.ndarray, places: int) -> pa.RecordBatch:
+    """Rows packed by the place of their key."""
+    place = ((key >> np.uint64(20)) % np.uint64(places)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    place, rows = place[order], rows[order]
+    parts = _parts(place)
+    return _batch([int(place[a]) for a, _ in parts], kind, [None] * len(parts), [_packed(rows[a:b]) for a, b in parts])
+
+
 def _scatter(places: int):
-    """Texts to packed runs by place; runs equal to an earlier one among those at hand are resolved at once."""
+    """Texts to packed runs by place. Runs equal to an earlier one among those at hand are resolved at once; of a hash
+    with more than LOCAL different ones a mark is sent, which is a run of no windows, and the texts of its runs are asked for."""
 
     def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         runs, new = _first_of_each(np.concatenate(parts))
-        old = runs[~new]
-        if spans := list(_covered(old["id"], old["at"], old["windows"] + (LENGTH - 1))):
-            yield _batch([i % places for i, _ in spans], [i for i, _ in spans], [s for _, s in spans])
-        runs = runs[new]
-        place = (runs["anchor"] >> np.uint64(20)) % np.uint64(places)
-        order = np.argsort(place, kind="stable")
-        place, runs = place[order], runs[order]
-        bounds = np.append(np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))), len(place)) if len(place) else np.zeros(1, int)
-        # column by column, so that the shuffle's compression finds the zeros
-        packed = [b"".join(np.ascontiguousarray(runs[a:b][name]).tobytes() for name in _ROW.names) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        yield _batch(place[bounds[:-1]].astype(np.int64).tolist(), [None] * len(packed), packed)
+        old, runs = runs[~new], runs[new]
+        yield _sent(SPANS, list(_covered(old["id"], old["at"], old["windows"] + (LENGTH - 1))), places)
+        group = np.cumsum(_heads(runs["anchor"])) - 1
+        hot = (np.bincount(group) > LOCAL)[group] if len(runs) else np.zeros(0, bool)
+        yield _sent(REQUESTS, list(_requests(runs[hot], np.full(int(hot.sum()), LENGTH))), places)
+        marks = runs[hot & _heads(runs["anchor"])] if len(runs) else runs
+        for name in ("digest", "more", "id", "at", "windows"):
+            marks[name] = 0
+        runs = np.concatenate((runs[~hot], marks))
+        yield _dealt(HELD, runs, runs["anchor"], places)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -146,71 +207,73 @@ def _scatter(places: int):
     return batches
 
 
-def _unpack(payload: bytes) -> np.ndarray:
-    n = len(payload) // _ROW.itemsize
-    out, offset = np.empty(n, _ROW), 0
-    for name in _ROW.names:
-        out[name] = np.frombuffer(payload, _ROW[name], n, offset)
-        offset += n * _ROW[name].itemsize
-    return out
-
-
 def _gather(group: pa.Table) -> pa.Table:
     """All runs of one place: spans of runs equal to an earlier one, and requests for the texts of those whose hash
-    different runs share. kind 0: id and spans, those found already among them; 1: id, with (position, bytes,
-    anchor length, hash) rows."""
-    kinds, ids, payloads, packed = [], [], [], []
-    for i, payload in zip(group.column("id").to_pylist(), group.column("payload").to_pylist(), strict=True):
-        if i is None:
-            packed.append(_unpack(payload))
-        else:
-            kinds.append(0), ids.append(i), payloads.append(payload)
-    runs, new = _first_of_each(np.concatenate([np.empty(0, _ROW), *packed]))
-    old = runs[~new]
-    for i, spans in _covered(old["id"], old["at"], old["windows"] + (LENGTH - 1)):
-        kinds.append(0), ids.append(i), payloads.append(spans)
-    runs = runs[new]
-    start = np.ones(len(runs), bool)
-    start[1:] = runs["anchor"][1:] != runs["anchor"][:-1]
-    group_of = np.cumsum(start) - 1
-    size = np.bincount(group_of)
-    lone = (size == 1) & ~(np.bincount(group_of, runs["self"]) > 0)
-    asked = runs[~lone[group_of]]
-    finer = np.full(len(size), ANCHOR)
-    for least, anchor in FINER:
-        finer[size > least] = anchor
-    rows = np.empty((len(asked), 4), "<i8")
-    rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = asked["at"], asked["windows"] + (LENGTH - 1), finer[group_of[~lone[group_of]]], asked["anchor"].view(np.int64)
-    order = np.argsort(asked["id"], kind="stable")
-    who, rows = asked["id"][order], rows[order]
-    bounds = np.append(np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1]))), len(who)) if len(who) else np.zeros(1, int)
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        kinds.append(1), ids.append(int(who[a])), payloads.append(rows[a:b].tobytes())
-    return pa.table({"kind": pa.array(kinds, pa.int32()), "id": pa.array(ids, pa.int64()), "payload": pa.array(payloads, pa.binary())})
+    different runs share, to be compared as runs or, where there are too many, string by string."""
+    kinds, ids, payloads = (group.column(name).to_pylist() for name in ("kind", "id", "payload"))
+    out = [(k, i, x) for k, i, x in zip(kinds, ids, payloads, strict=True) if k != HELD]
+    runs = _unpacked([x for k, x in zip(kinds, payloads) if k == HELD], _ROW)
+    hot = np.unique(runs["anchor"][runs["windows"] == 0])
+    runs, new = _first_of_each(runs[runs["windows"] > 0])
+    old, runs = runs[~new], runs[new]
+    out += [(SPANS, i, x) for i, x in _covered(old["id"], old["at"], old["windows"] + (LENGTH - 1))]
+    if len(runs):
+        heads = _heads(runs["anchor"])
+        group_of = np.cumsum(heads) - 1
+        size = np.bincount(group_of)
+        single = (size > MANY) | np.isin(runs["anchor"][heads], hot)
+        wanted = single | (size > 1) | (np.bincount(group_of, runs["self"]) > 0)
+        asked = wanted[group_of]
+        out += [(REQUESTS, i, x) for i, x in _requests(runs[asked], np.where(single, LENGTH, ANCHOR)[group_of[asked]])]
+    return pa.table({"kind": pa.array([k for k, *_ in out], pa.int32()), "id": pa.array([i for _, i, _ in out], pa.int64()), "payload": pa.array([x for *_, x in out], pa.binary())})
+
+
+def _again(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of equal strings, and the others."""
+    strings = strings[np.lexsort((strings["at"], strings["id"], strings["more"], strings["digest"]))]
+    first = _heads(strings["digest"], strings["more"])
+    return strings[first], strings[~first]
 
 
 def _fetch(places: int):
-    """Texts with requests to the runs' bytes, dealt by hash, or by the hash of longer strings where that is asked."""
+    """Texts with requests to the runs' bytes, dealt by hash, and to single strings, dealt by digest: the first of equal ones
+    among those at hand, while the others are resolved at once."""
+
+    def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        first, again = _again(np.concatenate(parts))
+        for batch in (_sent(SPANS, list(_covered(again["id"], again["at"], np.full(len(again), LENGTH))), places), _dealt(STRINGS, first, first["digest"], places)):
+            nothing = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nothing, nothing], ["place", "kind", "id", "payload", "key", "at"])
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        digest = xxhash.xxh3_128_digest
         for batch in source:
             ids, numbers, texts, asked = (batch.column(i) for i in range(4))
             out: list[tuple] = []
             for i in range(batch.num_rows):
                 text, row, number = texts[i].as_py() or b"", ids[i].as_py(), numbers[i].as_py()
                 rows = np.frombuffer(b"".join(asked[i].as_py()), "<i8").reshape(-1, 4)
-                for at, size, anchor, h in rows[rows[:, 0] >> ROW_BITS == number].tolist():
+                for at, size, length, h in rows[rows[:, 0] >> ROW_BITS == number].tolist():
                     start = at & (1 << ROW_BITS) - 1
-                    run = text[start : start + size]
-                    if anchor == ANCHOR:
-                        out.append((h, row, at, run))
+                    if length == ANCHOR:
+                        out.append((h, row, at, text[start : start + size]))
                         continue
-                    for finer, starts, ends, _ in runs_of(run, anchor):
-                        out += [(h ^ f, row, at + s, run[s : e + LENGTH - 1]) for f, s, e in zip(finer.view(np.int64).tolist(), starts.tolist(), ends.tolist())]
+                    n = size - LENGTH + 1
+                    part = np.empty(n, _STRING)
+                    part["digest"], part["more"] = np.frombuffer(b"".join([digest(text[k : k + LENGTH]) for k in range(start, start + n)]), "<u8").reshape(-1, 2).T
+                    part["id"], part["at"] = row, np.arange(at, at + n)
+                    parts.append(part)
+                    held += n
+                    if held >= RUNS:
+                        yield from flush(parts)
+                        parts, held = [], 0
             if out:
                 keys, rows_of, at, runs = zip(*out)
                 place = (np.array(keys, np.int64).view(np.uint64) >> np.uint64(20)) % np.uint64(places)
-                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(keys, pa.int64()), pa.array(rows_of, pa.int64()), pa.array(at, pa.int64()), pa.array(runs, pa.binary())], ["place", "key", "id", "at", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array([HELD] * len(keys), pa.int32()), pa.array(rows_of, pa.int64()), pa.array(runs, pa.binary()), pa.array(keys, pa.int64()), pa.array(at, pa.int64())], ["place", "kind", "id", "payload", "key", "at"])
+        if parts:
+            yield from flush(parts)
 
     return batches
 
@@ -323,21 +386,26 @@ def repeats(ids: np.ndarray, at: np.ndarray, runs: list[bytes]) -> tuple[np.ndar
 
 
 def _compare(group: pa.Table) -> pa.Table:
-    """All fetched runs of one place -> spans, in suffix arrays of whole hashes and about ARRAY bytes."""
-    keys = group.column("key").to_numpy()
-    order = np.argsort(keys, kind="stable")
-    keys, ids, at = keys[order], group.column("id").to_numpy()[order], group.column("at").to_numpy()[order]
-    runs = group.column("run").combine_chunks().take(pa.array(order)).to_pylist()
-    filled = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
-    heads = np.append(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), len(keys))
-    found, begin = [], 0
-    for head in heads[1:].tolist():
-        if head == len(keys) or filled[head - 1] - (filled[begin - 1] if begin else 0) >= ARRAY:
-            found.append(repeats(ids[begin:head], at[begin:head], runs[begin:head]))
-            begin = head
-    who, where = (np.concatenate(x) for x in zip(*found))
-    spans = list(_covered(who, where, np.full(len(who), LENGTH)))
-    return pa.table({"id": pa.array([i for i, _ in spans], pa.int64()), "payload": pa.array([s for _, s in spans], pa.binary())})
+    """All that was fetched for one place -> spans: runs in suffix arrays of whole hashes and about ARRAY bytes, strings by their digests."""
+    kinds = group.column("kind").to_numpy()
+    take = lambda kind, *names: [group.column(name).combine_chunks().take(pa.array(np.flatnonzero(kinds == kind))) for name in names]
+    out = list(zip(*(x.to_pylist() for x in take(SPANS, "id", "payload")), strict=True))
+    _, again = _again(_unpacked(take(STRINGS, "payload")[0].to_pylist(), _STRING))
+    out += _covered(again["id"], again["at"], np.full(len(again), LENGTH))
+    keys, ids, at = (x.to_numpy() for x in take(HELD, "key", "id", "at"))
+    if len(keys):
+        order = np.argsort(keys, kind="stable")
+        runs = take(HELD, "payload")[0].take(pa.array(order)).to_pylist()
+        keys, ids, at = keys[order], ids[order], at[order]
+        filled = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)))
+        found, begin = [], 0
+        for _, head in _parts(keys):
+            if head == len(keys) or filled[head - 1] - (filled[begin - 1] if begin else 0) >= ARRAY:
+                found.append(repeats(ids[begin:head], at[begin:head], runs[begin:head]))
+                begin = head
+        who, where = (np.concatenate(x) for x in zip(*found))
+        out += _covered(who, where, np.full(len(who), LENGTH))
+    return pa.table({"id": pa.array([i for i, _ in out], pa.int64()), "payload": pa.array([x for _, x in out], pa.binary())})
 
 
 def _merged(spans: list[bytes], number: int, n: int) -> list[tuple[int, int]]:
@@ -383,22 +451,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     session = docs.sparkSession
     ship(session)
-    places = PLACES * int(session.conf.get("spark.sql.shuffle.partitions"))
     raw = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("binary").alias("text"))
-    shared = raw.groupBy("id").count().where("count > 1").limit(1).count() > 0
-    if shared:
+    held = raw.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).agg(F.max("n").alias("most"), F.sum("bytes").alias("bytes")).first()
+    places = max(PLACES * int(session.conf.get("spark.sql.shuffle.partitions")), -(-(held.bytes or 0) // PLACE_BYTES))
+    if (held.most or 0) > 1:
         numbered = raw.withColumn("number", (F.dense_rank().over(Window.partitionBy("id").orderBy("text")) - 1).cast("long"))
     else:
         numbered = raw.withColumn("number", F.lit(0).cast("long"))
     texts = numbered.select("id", "number", "own", "text")
-    scattered = arrow_map(texts.select("id", "number", "text"), _scatter(places), "place long, id long, payload binary")
+    # rows alike in id and text are one document, of which no string is another's copy
+    once = texts.dropDuplicates(["id", "number"]) if (held.most or 0) > 1 else texts
+    scattered = arrow_map(once.select("id", "number", "text"), _scatter(places), _BATCH)
     met = scattered.groupBy("place").applyInArrow(_gather, "kind int, id long, payload binary")
     met = checkpointed(met)
-    asked = met.where("kind = 1").groupBy("id").agg(F.collect_list("payload").alias("asked"))
-    fetching = texts.join(asked.hint("shuffle_hash"), "id").select("id", "number", "text", "asked", "own")
-    fetched = arrow_map(fetching, _fetch(places), "place long, key long, id long, at long, run binary")
+    asked = met.where(F.col("kind") == REQUESTS).groupBy("id").agg(F.collect_list("payload").alias("asked"))
+    fetching = once.join(asked.hint("shuffle_hash"), "id").select("id", "number", "text", "asked", "own")
+    fetched = arrow_map(fetching, _fetch(places), _BATCH + ", key long, at long")
     compared = fetched.groupBy("place").applyInArrow(_compare, "id long, payload binary")
-    spans = met.where("kind = 0").select("id", "payload").union(compared).groupBy("id").agg(F.collect_list("payload").alias("spans"))
+    spans = met.where(F.col("kind") == SPANS).select("id", "payload").union(compared).groupBy("id").agg(F.collect_list("payload").alias("spans"))
     joined = texts.join(spans.hint("shuffle_hash"), "id", "left").select("id", "number", "own", "text", "spans")
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return arrow_map(joined, _cut(with_text), schema)

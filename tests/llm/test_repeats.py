@@ -5,6 +5,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import pytest
 
 from sparkquarry.llm import queries, suffixes
 from tests.conftest import SMALL
@@ -65,26 +68,45 @@ def test_repeats_of_every_period(spark):
     check(spark, [*texts, line * 3, copied, copied])
 
 
-def test_repeats_with_finer_hashes_and_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("local, many, runs, place", [(8, 2000, 1 << 20, 16 << 20), (0, 2000, 1 << 20, 16 << 20), (8, 1, 1 << 20, 200), (1, 3, 40, 1000), (10**9, 10**9, 7, 16 << 20)])
+def test_results_do_not_depend_on_how_strings_are_dealt(spark, monkeypatch, local, many, runs, place):
+    """Common lines in different surroundings, copies and periods, with every way to deal their strings."""
+    for name, value in (("LOCAL", local), ("MANY", many), ("RUNS", runs), ("PLACE_BYTES", place)):
+        monkeypatch.setattr(suffixes, name, value)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("xyz \n") for _ in range(n))
+    middle, longer = word(98), word(260)
+    texts = [word(20) + middle + word(20) for _ in range(60)] + [word(rng.randrange(90)) + longer[rng.randrange(80) :] + word(rng.randrange(90)) for _ in range(60)]
+    texts += [longer, longer, longer * 2, "q" * 300, "ab" * 150, middle * 3, "", "x"]
+    rng.shuffle(texts)
+    check(spark, texts)
+
+
+def test_groups_stay_small_as_the_input_grows(spark, monkeypatch):
+    """A line that stands in every text in other surroundings: the largest group's bytes, at two sizes."""
+    sizes = []
+    true = suffixes._gather
+    monkeypatch.setattr(suffixes, "LOCAL", 4)
+    for n in (300, 1200):
+        rng = random.Random(n)
+        word = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))  # noqa: E731, B023
+        line = "the same line stands in every one of these texts, whatever stands before or after it\n"
+        texts = [(word(200) + line + word(200)).encode() for _ in range(n)]
+        batch = pa.RecordBatch.from_pydict({"id": list(range(n)), "number": [0] * n, "text": texts})
+        sent = pa.Table.from_batches(suffixes._scatter(1 << 30)(iter([batch])))
+        held = sent.filter(pa.compute.equal(sent.column("kind"), suffixes.HELD)).to_pylist()
+        by_place = Counter()
+        for row in held:
+            by_place[row["place"]] += len(row["payload"])
+        sizes.append(max(by_place.values()))
+        assert true(sent.slice(0, 5)).num_rows
+    assert sizes[0] == sizes[1] <= (suffixes.LOCAL + 1) * suffixes._ROW.itemsize
+
+
+def test_runs_of_small_blocks(monkeypatch):
     rng = random.Random(6)
-    word = lambda n: "".join(rng.choice("xyz ") for _ in range(n))
-    middle = word(98)
-    texts = [word(20) + middle + word(20) for _ in range(60)]
-    runs = [t.encode() for t in texts]
-    whole = suffixes.repeats(np.arange(len(runs)), np.zeros(len(runs), np.int64), runs)
-    for anchor in (64, 96):
-        groups = {}
-        for i, run in enumerate(runs):
-            for h, s, e, _ in suffixes.runs_of(run, anchor):
-                for a, b, c in zip(h.tolist(), s.tolist(), e.tolist()):
-                    groups.setdefault(a, []).append((i, b, run[b : c + N - 1]))
-        parts = set()
-        for g in groups.values():
-            who, where = suffixes.repeats(np.array([x[0] for x in g]), np.array([x[1] for x in g]), [x[2] for x in g])
-            parts |= set(zip(who.tolist(), where.tolist()))
-        assert parts == set(zip(whole[0].tolist(), whole[1].tolist()))
     monkeypatch.setattr(suffixes, "BLOCK", 150)
-    text = (word(700) * 2).encode()
+    text = ("".join(rng.choice("xyz ") for _ in range(700)) * 2).encode()
     covered = sorted((s, e) for _, a, b, _ in suffixes.runs_of(text) for s, e in zip(a.tolist(), b.tolist()))
     assert covered[0][0] == 0 and covered[-1][1] == len(text) - N + 1
     assert all(x[1] == y[0] for x, y in zip(covered, covered[1:]))
@@ -112,3 +134,15 @@ def test_repeats_odd_rows(odd, none):
     assert all(len(r.kept) == r.n_bytes - r.n_removed for r in found)
     long = next(r for r in found if r.id == 6)
     assert long.n_removed == 25000 - 5 and long.n_spans == 1
+
+
+def test_rows_of_null_and_repeated_ids(spark):
+    """Rows without an id come last; other texts of one id in the order of the texts; rows alike in both are one document."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    one, two, three = word(150), word(150), word(150)
+    docs = [(None, one + word(20)), (None, two), (3, two + one), (3, one), (3, one), (5, three), (4, word(9) + three[:120]), (None, None), (5, None), (None, two)]
+    found = Counter(map(tuple, suffixes.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()))
+    order = sorted({(i is None, i or 0, (t or "").encode()) for i, t in docs})
+    of = dict(zip(order, plain([t for *_, t in order])))
+    assert found == Counter((i, *of[i is None, i or 0, (t or "").encode()]) for i, t in docs)

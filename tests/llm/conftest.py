@@ -16,6 +16,11 @@ ODD = [
     (-8, "12 34 \x00\x01 ## $$ ​﻿", "xx", "c", 12),
     (9, "a b", "es", "b", 3),
 ]
+#: Names that the operators use beside the columns of a table, now or once.
+CLASHING = (
+    "id", "fp", "kept", "node", "component", "size", "copies", "row", "words", "h", "name", "k", "target", "key", "of", "copy", "gone_id", "gone_key", "gone_of", "first", "least", "place", "shorts", "same", "cell", "at",
+    "__same", "__gone", "__id", "__of", "__row", "__key", "__copy", "__node", "__part", "keep_id", "group_size", "n", "pos", "root", "url", "host", "label", "number", "own", "spans", "class", "source_size", "payload",
+)
 
 
 @pytest.fixture(scope="session")
@@ -24,7 +29,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     docs = spark.createDataFrame(ODD, SCHEMA)
-    return docs.withColumns({name: F.lit("clash") for name in ("id", "fp", "kept", "node", "component", "size", "copies", "row", "words", "h", "name", "k", "target")})
+    return docs.withColumns({name: F.lit("clash") for name in CLASHING})
 
 
 @pytest.fixture(scope="session")

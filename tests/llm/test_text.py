@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from sparkquarry.llm import langid, mixing, quality, queries, sentencepieces, simhash, tokens
 from tests.conftest import SMALL
 
-from .conftest import ODD
+from .conftest import CLASHING, ODD
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,7 +65,13 @@ def test_simhash_odd_rows(odd, none):
     expected = Counter((i, fp - (1 << 64) if fp >> 63 else fp, c) for (i, fp), c in zip(fps, plain_components(fps), strict=True))
     assert Counter(map(tuple, found)) == expected
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.drop_near_duplicates(odd).columns == odd.columns
+    left = simhash.drop_near_duplicates(odd)
+    assert left.columns == odd.columns
+    rows = left.collect()
+    # the smallest id of each component; of those without an id, one in a component that has none
+    assert Counter(r.doc_id for r in rows) == Counter({c for _, c in zip(fps, plain_components(fps), strict=True) if c is not None} | ({None} if any(c is None for c in plain_components(fps)) else set()))
+    assert all(r[name] == "clash" for r in rows for name in CLASHING)
+    assert simhash.drop_near_duplicates(none).count() == 0
 
 
 def test_links_lose_nothing(spark):

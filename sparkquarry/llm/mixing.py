@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, checkpointed
 
 WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its own size.
@@ -32,23 +32,35 @@ def scattered(number: Column) -> Column:
     return F.pmod((residue + 1) * 48271, F.lit(2147483647))
 
 
+def ranks(sizes: DataFrame) -> DataFrame:
+    """Adds `rank`, the place of each source by name from 0, null last: sorted ranges count for themselves, and how many rows each
+    range has, one number a partition, tells where it begins."""
+    placed = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    placed = checkpointed(placed.withColumns({"part": F.spark_partition_id(), "rank": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    begins, so_far = {}, 0
+    for part, n in sorted((r.part, r.n) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        begins[part], so_far = so_far, so_far + n
+    begin = F.element_at(F.create_map(*[F.lit(x) for pair in begins.items() for x in pair]), F.col("part")) if begins else F.lit(0)
+    return placed.withColumn("rank", F.col("rank") + begin).drop("part")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size) -> with target. Each source gets min(most * size, level * weight), the level being
-    the one at which the targets add up to the total: sources are taken in the order in which they reach
-    their caps, and those not capped share what is left. The table has a row per source, not per document.
-    """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weighted = sizes.withColumn("rank", F.row_number().over(by_name) - 1)
-    weighted = weighted.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
-    by_cap = Window.orderBy((F.lit(float(most)) * F.col("source_size") / F.col("weight")).asc(), "rank")
-    so_far, whole = by_cap.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    room = (F.sum("source_size").over(whole) - most * F.coalesce(F.sum("source_size").over(so_far), F.lit(0))).cast("double")
-    share = room / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(so_far), F.lit(0)))
-    # the first source that isn't capped at the level of its place sets the level for all after it
-    levels = weighted.withColumn("share", share).withColumn("place", F.row_number().over(by_cap))
-    free = F.when(F.col("share") * F.col("weight") <= most * F.col("source_size"), F.struct("place", "share"))
-    leveled = levels.withColumn("level", F.min(free).over(whole)["share"])
-    return leveled.select("source", "source_size", F.coalesce(F.least(F.col("level") * F.col("weight"), (most * F.col("source_size")).cast("double")), (most * F.col("source_size")).cast("double")).alias("target"))
+    the one at which the targets add up to the total: the sources that a level would take beyond their caps are set to
+    them, and the others share what is left at a new one, until none is above. Each round is one sum over the sources,
+    however many there are; a level rises with every round, so no source is set free again."""
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    weighted = checkpointed(ranks(sizes).withColumn("weight", weight)).drop("rank")
+    cap = most * F.col("source_size")
+    total = weighted.agg(F.sum("source_size")).first()[0] or 0
+    level, before = 0.0, -1
+    while True:
+        over = F.lit(level) * F.col("weight") > cap
+        n, capped, shared = weighted.agg(F.sum(over.cast("int")), F.sum(F.when(over, cap)), F.sum(F.when(~over, F.col("weight")))).first()
+        if (n or 0) == before or not shared:
+            break
+        before, level = n, float(total - (capped or 0)) / shared
+    return weighted.select("source", "source_size", F.least(F.lit(level) * F.col("weight"), cap.cast("double")).alias("target"))
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, carry: bool = False) -> DataFrame:
@@ -66,9 +78,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     held = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), *([F.struct("*").alias("row")] if carry else [])
     )
+    if not carry:
+        held = checkpointed(held)  # texts are read once
     placed = held.withColumn("place", scattered(F.col("id"))).withColumn("class", size_class(F.col("size")))
     placed = placed.withColumn("cell", F.floor(F.col("place") * CELLS / F.lit(2147483647)).cast("int"))
-    cells = placed.groupBy("source", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    cells = checkpointed(placed.groupBy("source", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     sized = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
     along = Window.partitionBy("source").orderBy("class", "cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))

@@ -16,8 +16,9 @@ from .common import checkpointed, id_and_bytes, keep_first, rows, text_key
 from .components import connected_components
 
 SEED = 42
-#: 32 segments of two bits, dealt into so many slabs.
-SLABS = 6
+#: 32 segments of two bits, dealt into so many slabs. More slabs make smaller cells, and more of them: with 8 and a distance of 2
+#: a fingerprint stands in 28 cells, each of the counts of 24 segments, which are worth 36 bits of a random fingerprint.
+SLABS = 8
 LOW_BITS = 0x5555555555555555
 
 
@@ -83,7 +84,9 @@ def slab_masks(distance: int) -> list[int]:
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     """(a, b) of all distinct fingerprints `fp` that differ in up to `distance` bits, a < b.
 
-    Grid range join: a cell is the embedded counts with some slabs left open. The join keeps what is within
+    Grid range join: a cell reaches over the whole range of the slabs that it leaves open and is one point in the others. (Cells
+    of one size in all dimensions would have to be joined with their neighbours: 545 of them within a distance of 2 over 16
+    segments of four bits.) The join keeps what is within
     the Manhattan bound, then compares the bits themselves. A fingerprint has a bounded number of others
     within the distance, so links grow in proportion to the fingerprints however dense a group is.
     """

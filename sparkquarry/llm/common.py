@@ -66,6 +66,30 @@ def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield tuple(c[i].as_py() for c in columns)
 
 
+class Remembered:
+    """What a worker remembers, in bounded room: when half of it is full, what was not asked for since the last time is forgotten.
+
+    `young` is looked up first and directly; `older` finds the rest and makes it young again."""
+
+    def __init__(self, most: int, cost: int):
+        self.most, self.cost, self.held = most, cost, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def keep(self, key: str, value: bytes) -> None:
+        self.young[key] = value
+        self.held += len(key) + len(value) + self.cost
+
+    def older(self, key: str) -> bytes | None:
+        if (value := self.old.get(key)) is not None:
+            self.keep(key, value)
+        return value
+
+    def trim(self) -> None:
+        if 2 * self.held > self.most:
+            self.old, self.young, self.held = self.young, {}, 0
+
+
 def shared_folder(session: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it. Without that setting, a local session takes a
     temporary folder and a cluster one next to its warehouse."""

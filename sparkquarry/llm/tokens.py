@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import arrow_map
-from .common import id_and_bytes, rows
+from .common import Remembered, id_and_bytes, rows
 
-#: Bytes of pieces and counts that a worker remembers before it forgets them all and starts anew, what one costs besides its
-#: own, and the characters of the longest piece that is remembered.
-MEMO, COST, LONGEST = 80_000_000, 160, 64
+#: Bytes of pieces and counts that a worker remembers, what one costs besides its own, and the characters of the longest
+#: piece that is remembered.
+MEMO, COST, LONGEST = 120_000_000, 160, 64
 #: Pairs of tokens of which a worker remembers whether they can stand next to each other.
 PAIRS = 1_000_000
 #: The published split pattern of this family of vocabularies.
@@ -28,6 +28,8 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 PLAIN = regex.compile(r"[\t-\r -~¡-¬®-ȟ‐-‧‰-⁞€]*")
 #: Pieces of the pattern that, with their last letter off, are two.
 BROKEN = ("'re", "'ve", "'ll")
+BLANKS = regex.compile(r"\s{2,}")
+_SHORT = (2, 1)
 
 
 class PrefixCounter:
@@ -52,15 +54,15 @@ class PrefixCounter:
         self.token = {rank: token for token, rank in self.ranks.items()}
         sizes: dict[bytes, set[int]] = {}
         for token in self.ranks:
-            sizes.setdefault(token[-2:], set()).add(len(token))
-        #: the lengths of the tokens that end in two bytes, longest first; any single byte is a token too
-        self.sizes = {end: tuple(sorted(found | {1}, reverse=True)) for end, found in sizes.items() if len(end) == 2}
+            if len(token) > 2:
+                sizes.setdefault(token[-3:], set()).add(len(token))
+        #: the lengths of the tokens that end in three bytes, longest first; any two bytes may be a token, and any single one is
+        self.sizes = {end: (*sorted(found, reverse=True), 2, 1) for end, found in sizes.items()}
         self.fits: dict[int, bool] = {}
-        self.memo: dict[str, bytes] = {}
-        self.held = 0
+        self.memo = Remembered(MEMO, COST)
 
     def pieces(self, text: str) -> list[str]:
-        if not self.at_special:
+        if not any(special in text for special in self.specials):
             return self._split(text)
         out: list[str] = []
         for part in self.at_special.split(text):
@@ -80,22 +82,28 @@ class PrefixCounter:
             known = self.fits[key] = self.merger._encode_single_piece(self.token[one] + self.token[two]) == [one, two]
         return known
 
-    def within(self, piece: str) -> np.ndarray:
+    def within(self, piece: str) -> list[int]:
         """The counts of a piece's prefixes, by characters, as if merges were all that there is."""
         raw = piece.encode()
-        counts, last = [0] * (len(raw) + 1), [-1] * (len(raw) + 1)
-        get, sizes, adjacent = self.ranks.get, self.sizes, self._adjacent
-        for end in range(1, len(raw) + 1):
-            for size in sizes.get(raw[end - 2 : end], (1,)) if end > 1 else (1,):
+        n = len(raw)
+        counts, last = [0] * (n + 1), [-1] * (n + 1)
+        ranks, sizes, fits = self.ranks.get, self.sizes.get, self.fits.get
+        for end in range(1, n + 1):
+            for size in sizes(raw[end - 3 : end], _SHORT) if end > 2 else _SHORT[2 - end :]:
                 start = end - size
-                if start < 0 or (rank := get(raw[start:end])) is None or start and not adjacent(last[start], rank):
+                if start < 0 or (rank := ranks(raw[start:end])) is None:
                     continue
+                if start:
+                    fit = fits(last[start] << 20 | rank)
+                    if not (self._adjacent(last[start], rank) if fit is None else fit):
+                        continue
                 counts[end], last[end] = counts[start] + 1, rank
                 break
-        found = np.array(counts[1:], np.int32)
-        return found if len(raw) == len(piece) else found[np.cumsum([len(c.encode()) for c in piece]) - 1]
+        if n == len(piece):
+            return counts[1:]
+        return [counts[k] for k in range(1, n + 1) if k == n or raw[k] & 0xC0 != 0x80]
 
-    def counts(self, piece: str) -> bytes | np.ndarray:
+    def counts(self, piece: str) -> bytes | list[int]:
         """The counts of a piece's prefixes: a byte each, or numbers where a piece is too long to be remembered."""
         if piece in self.specials:
             return bytes([1] * len(piece))
@@ -104,42 +112,46 @@ class PrefixCounter:
             found[1] = 2
         if len(piece) > LONGEST:
             return found
-        raw = self.memo[piece] = found.astype(np.uint8).tobytes()
-        self.held += 2 * len(piece) + COST
+        raw = bytes(found)
+        self.memo.keep(piece, raw)
         return raw
 
+    def _known(self, piece: str) -> bytes | list[int]:
+        return self.memo.young.get(piece) or self.memo.older(piece) or self.counts(piece)
+
     def total(self, piece: str) -> int:
-        return int((self.memo.get(piece) or self.counts(piece))[-1])
+        return int(self._known(piece)[-1])
 
     def table(self, text: str) -> np.ndarray:
         """The token count of every prefix, by its last character."""
         pieces = self.pieces(text)
         if not pieces:
             return np.zeros(0, np.int32)
-        if self.held > MEMO:
-            self.memo.clear()
-            self.held = 0
-        found = list(map(self.memo.get, pieces))
+        self.memo.trim()
+        found = list(map(self.memo.young.get, pieces))
         if None in found:
             for k, counts in enumerate(found):
                 if counts is None:
-                    known = self.memo.get(pieces[k])
-                    found[k] = self.counts(pieces[k]) if known is None else known
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        own = np.fromiter((c[-1] for c in found), np.int64, len(found))
-        before = np.cumsum(own) - own
-        if all(type(c) is bytes for c in found):
-            held = np.frombuffer(b"".join(found), np.uint8)
-        else:
-            held = np.concatenate([np.frombuffer(c, np.uint8) if type(c) is bytes else c for c in found])
-        out = (np.repeat(before, sizes) + held).astype(np.int32)
-        starts = np.cumsum(sizes) - sizes
-        for k in [k for k in range(1, len(pieces)) if pieces[k][0].isspace() and pieces[k - 1].isspace()]:
-            out[starts[k]] = before[k - 1] + self.total(pieces[k - 1] + pieces[k][0])
-        for k in [k for k, piece in enumerate(pieces) if piece in self.specials] if self.at_special and self.at_special.search(text) else ():
-            for cut in range(int(starts[k]) + 1, int(starts[k] + sizes[k])):
-                out[cut - 1] = self._recounted(text, cut, k, pieces, starts, before)
-        return out
+                    found[k] = self._known(pieces[k])
+        try:
+            held = np.frombuffer(b"".join(found), np.uint8).astype(np.int32)
+        except TypeError:  # some are numbers
+            held = np.concatenate([np.frombuffer(c, np.uint8) if type(c) is bytes else np.array(c, np.int32) for c in found]).astype(np.int32)
+        sizes = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        ends = np.cumsum(sizes)
+        own = held[ends - 1]
+        before, starts = np.cumsum(own) - own, ends - sizes
+        held += np.repeat(before, sizes).astype(np.int32)
+        for run in BLANKS.finditer(text):
+            cut = run.end() - 1
+            k = int(np.searchsorted(starts, cut))
+            if k < len(pieces) and starts[k] == cut and pieces[k - 1].isspace():
+                held[cut] = before[k - 1] + self.total(pieces[k - 1] + text[cut])
+        if any(special in text for special in self.specials):
+            for k in [k for k, piece in enumerate(pieces) if piece in self.specials]:
+                for cut in range(int(starts[k]) + 1, int(ends[k])):
+                    held[cut - 1] = self._recounted(text, cut, k, pieces, starts, before)
+        return held
 
     def _recounted(self, text: str, cut: int, k: int, pieces: list[str], starts: np.ndarray, before: np.ndarray) -> int:
         """The count of a prefix that ends within the special token k: its string is split with what stands before it, from a piece on

@@ -176,9 +176,9 @@ def hotspots_(spark, sf_dir):
 QUERIES["hotspots"], ORACLES["hotspots"] = QUERIES.pop("hotspots_"), ORACLES.pop("hotspots_")
 
 
-@query(_HOT + " ORDER BY score DESC, ord LIMIT 20")
+@query(_HOT + " ORDER BY score DESC, ord")
 def hotspots_doc_order(spark, sf_dir):
-    return _hotspots(spark, sf_dir).orderBy(*hotspots.document_order()).limit(20)
+    return _hotspots(spark, sf_dir).orderBy(*hotspots.document_order())
 
 
 _RANGES = f"{S.SYMBOLS}, {S.BLAME}, hit AS (SELECT DISTINCT s.rel_path, s.ord, b.event_id FROM symbols s JOIN blame b ON b.rel_path = s.rel_path AND b.line_no BETWEEN s.start_line AND s.end_line)"
@@ -219,64 +219,72 @@ def import_distinct(spark, sf_dir):
     return S.page_modules(spark, sf_dir)[1].select("page_id", F.col("imp").alias("import_name"))
 
 
-_MODULES = "SELECT ord, rel_path, replace(regexp_replace(rel_path, '\\.[^./]*$', ''), '/', '.') AS mod FROM tree WHERE language = 'python'"
-_TREE = f"tree AS ({S.TREE_FILES_SQL}), imports AS ({S.TREE_IMPORTS_SQL})"
-_PY = f"{_TREE}, mods AS ({_MODULES}), py AS (SELECT i.src, i.imp, arg_min(m.rel_path, m.ord) AS dst FROM imports i JOIN tree t ON t.rel_path = i.src AND t.language = 'python' JOIN mods m ON m.mod = i.imp OR ends_with(m.mod, '.' || i.imp) OR (m.mod <> '' AND starts_with(i.imp, m.mod)) GROUP BY i.src, i.imp)"
+def graph_sql(prelude: str, files: str, imports: str) -> dict[str, str]:
+    """SQL of the graph queries over files (ord, rel_path, language) and imports (src, imp), which are given as SQL after a prelude."""
+    modules = "SELECT ord, rel_path, replace(regexp_replace(rel_path, '\\.[^./]*$', ''), '/', '.') AS mod FROM tree WHERE language = 'python'"
+    py = f"{prelude}tree AS ({files}), imports AS ({imports}), mods AS ({modules}), py AS (SELECT i.src, i.imp, arg_min(m.rel_path, m.ord) AS dst FROM imports i JOIN tree t ON t.rel_path = i.src AND t.language = 'python' JOIN mods m ON m.mod = i.imp OR ends_with(m.mod, '.' || i.imp) OR (m.mod <> '' AND starts_with(i.imp, m.mod)) GROUP BY i.src, i.imp)"
+    # each step of a path is popped by recursion
+    js = (
+        f"{py}, js AS (SELECT i.src, i.imp, regexp_extract(i.src, '^(.*)/[^/]*$', 1) || '/' || i.imp AS p FROM imports i JOIN tree t ON t.rel_path = i.src AND t.language <> 'python' WHERE starts_with(i.imp, './') OR starts_with(i.imp, '../')),"
+        " suffixes AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}')" for k, s in enumerate(graph.SUFFIXES)) + ") AS t(pos, suffix)),"
+        " walk AS (SELECT src, imp, [x for x in string_split(p, '/') if x NOT IN ('', '.')] AS steps, []::VARCHAR[] AS done FROM js UNION ALL SELECT src, imp, steps[2:], CASE WHEN steps[1] = '..' AND len(done) > 0 AND done[-1] <> '..' THEN done[:len(done)-1] ELSE list_append(done, steps[1]) END FROM walk WHERE len(steps) > 0),"
+        " normal AS (SELECT src, imp, array_to_string(done, '/') AS target FROM walk WHERE len(steps) = 0),"
+        " found AS (SELECT n.src, n.imp, arg_min(t.rel_path, (pos, t.ord)) AS dst FROM normal n CROSS JOIN suffixes s JOIN tree t ON t.rel_path = n.target || s.suffix GROUP BY n.src, n.imp)"
+    )
+    edges = f"WITH RECURSIVE {js}, resolved AS (SELECT * FROM py UNION ALL SELECT * FROM found), edges AS (SELECT src, dst, min(imp) AS first_import FROM resolved WHERE src <> dst GROUP BY src, dst)"
+    arrows = "SELECT s.ord::BIGINT AS u, d.ord::BIGINT AS v, first_import, '    node_' || s.ord || ' --> node_' || d.ord AS line FROM edges JOIN tree s ON s.rel_path = src JOIN tree d ON d.rel_path = dst"
+    name = "regexp_extract(lower(rel_path), '([^/]*)$', 1)"
+    return {
+        "resolve_py": f"WITH {py} SELECT * FROM py",
+        "resolve_js": f"WITH RECURSIVE {js} SELECT * FROM found",
+        "edges": f"{edges} SELECT src, dst, first_import FROM edges",
+        "in_degree": f"{edges}, counted AS (SELECT dst, count(*) AS n FROM edges GROUP BY dst) SELECT rel_path, coalesce(n, 0) AS in_degree FROM tree LEFT JOIN counted ON dst = rel_path",
+        "dead_files": f"{edges} SELECT rel_path, ({name} IN ('main.py', 'cli.py', 'index.js', 'app.py', 'setup.py', 'wsgi.py') OR starts_with({name}, 'test_')) AS is_entrypoint FROM tree WHERE rel_path NOT IN (SELECT dst FROM edges)",
+        "mermaid_nodes": f"{edges} SELECT ord::BIGINT AS idx, rel_path, '    node_' || ord || '[\"' || rel_path || '\"]' AS line FROM tree",
+        "mermaid_edges": f"{edges} {arrows}",
+        "mermaid_text": f"{edges}, arrows AS ({arrows}) SELECT 'graph TD' || chr(10) || (SELECT string_agg('    node_' || ord || '[\"' || rel_path || '\"]', chr(10) ORDER BY ord) FROM tree) || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY u, first_import) FROM arrows) AS mermaid",
+    }
 
 
-@query(f"WITH {_PY} SELECT * FROM py")
-def resolve_py(spark, sf_dir):
-    files, imports = S.tree(spark)
-    python = imports.join(files.where("language = 'python'").select(F.col("rel_path").alias("src")), "src")
-    return graph.resolve_python(python, files)
+def _python(files: DataFrame, imports: DataFrame) -> DataFrame:
+    return graph.resolve_python(imports.join(files.where("language = 'python'").select(F.col("rel_path").alias("src")), "src"), files)
 
 
-# in SQL, each step of a path is popped by recursion
-_JS = (
-    f"{_PY}, js AS (SELECT i.src, i.imp, regexp_extract(i.src, '^(.*)/[^/]*$', 1) || '/' || i.imp AS p FROM imports i JOIN tree t ON t.rel_path = i.src AND t.language <> 'python' WHERE starts_with(i.imp, './') OR starts_with(i.imp, '../')),"
-    " suffixes AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{s}')" for k, s in enumerate(graph.SUFFIXES)) + ") AS t(pos, suffix)),"
-    " walk AS (SELECT src, imp, [x for x in string_split(p, '/') if x NOT IN ('', '.')] AS steps, []::VARCHAR[] AS done FROM js UNION ALL SELECT src, imp, steps[2:], CASE WHEN steps[1] = '..' AND len(done) > 0 AND done[-1] <> '..' THEN done[:len(done)-1] ELSE list_append(done, steps[1]) END FROM walk WHERE len(steps) > 0),"
-    " normal AS (SELECT src, imp, array_to_string(done, '/') AS target FROM walk WHERE len(steps) = 0),"
-    " found AS (SELECT n.src, n.imp, arg_min(t.rel_path, (pos, t.ord)) AS dst FROM normal n CROSS JOIN suffixes s JOIN tree t ON t.rel_path = n.target || s.suffix GROUP BY n.src, n.imp)"
-)
-
+def _scripts(files: DataFrame, imports: DataFrame) -> DataFrame:
+    return graph.resolve_scripts(imports.join(files.where("language <> 'python'").select(F.col("rel_path").alias("src")), "src"), files)
 
-@query(f"WITH RECURSIVE {_JS} SELECT * FROM found")
-def resolve_js(spark, sf_dir):
-    files, imports = S.tree(spark)
-    scripts = imports.join(files.where("language <> 'python'").select(F.col("rel_path").alias("src")), "src")
-    return graph.resolve_scripts(scripts, files)
 
-
-_STEPS = [("a/./b//c", "a/b/c"), ("a/../b", "b"), ("../a", "../a"), ("a/../../b", "../b"), ("./", "."), ("a/..", "."), ("a/b/../../..", ".."), ("../../x/..", "../..")]
+#: The graph queries over files and imports, wherever these come from.
+GRAPH: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "resolve_py": _python,
+    "resolve_js": _scripts,
+    "edges": lambda files, imports: graph.edges(imports, files),
+    "in_degree": lambda files, imports: graph.in_degrees(files, graph.edges(imports, files)),
+    "dead_files": lambda files, imports: graph.unreferenced(files, graph.edges(imports, files)).select("rel_path", "is_entrypoint"),
+    "mermaid_nodes": lambda files, imports: graph.flowchart_nodes(files),
+    "mermaid_edges": lambda files, imports: graph.flowchart_edges(files, graph.edges(imports, files)),
+    "mermaid_text": lambda files, imports: graph.flowchart(files, graph.edges(imports, files)),
+}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _STEPS) + ") AS t(path, normal)")
-def normpath(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _STEPS], "path string").select("path", paths.normalized(F.col("path")).alias("normal"))
+def _over_tables(build):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = _inventory(spark, sf_dir).select("ord", "rel_path", "language")
+        return build(files, S.imports(files))
 
+    return run
 
-_EDGES = f"WITH RECURSIVE {_JS}, resolved AS (SELECT * FROM py UNION ALL SELECT * FROM found), edges AS (SELECT src, dst, min(imp) AS first_import FROM resolved WHERE src <> dst GROUP BY src, dst)"
 
+QUERIES |= {name: _over_tables(build) for name, build in GRAPH.items()}
+ORACLES |= graph_sql(f"{S.INVENTORY}, ", S.TABLE_FILES_SQL, S.TABLE_IMPORTS_SQL)
 
-def _edges(spark):
-    files, imports = S.tree(spark)
-    return files, graph.edges(imports, files)
 
-
-@query(_EDGES + " SELECT src, dst, first_import FROM edges")
-def edges(spark, sf_dir):
-    return _edges(spark)[1]
-
-
-@query(_EDGES + " SELECT rel_path, (SELECT count(*) FROM edges WHERE dst = rel_path) AS in_degree FROM tree")
-def in_degree(spark, sf_dir):
-    return graph.in_degrees(*_edges(spark))
+_STEPS = [("a/./b//c", "a/b/c"), ("a/../b", "b"), ("../a", "../a"), ("a/../../b", "../b"), ("./", "."), ("a/..", "."), ("a/b/../../..", ".."), ("../../x/..", "../..")]
 
 
-@query(_EDGES + " SELECT rel_path, (regexp_extract(lower(rel_path), '([^/]*)$', 1) IN ('main.py', 'cli.py', 'index.js', 'app.py', 'setup.py', 'wsgi.py') OR starts_with(regexp_extract(lower(rel_path), '([^/]*)$', 1), 'test_')) AS is_entrypoint FROM tree WHERE rel_path NOT IN (SELECT dst FROM edges)")
-def dead_files(spark, sf_dir):
-    return graph.unreferenced(*_edges(spark)).select("rel_path", "is_entrypoint")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _STEPS) + ") AS t(path, normal)")
+def normpath(spark, sf_dir):
+    return spark.createDataFrame([(a,) for a, _ in _STEPS], "path string").select("path", paths.normalized(F.col("path")).alias("normal"))
 
 
 _POINTS = [("src/Main.PY", True), ("index.js", True), ("index.ts", False), ("a/test_x.js", True), ("a/tests.py", False), ("main.py/x.py", False)]
@@ -287,24 +295,6 @@ def entrypoint_flag(spark, sf_dir):
     return spark.createDataFrame([(p,) for p, _ in _POINTS], "path string").select("path", paths.entry_point(F.col("path")).alias("is_entrypoint"))
 
 
-@query(_EDGES + " SELECT ord::BIGINT AS idx, rel_path, '    node_' || ord || '[\"' || rel_path || '\"]' AS line FROM tree")
-def mermaid_nodes(spark, sf_dir):
-    return graph.flowchart_nodes(_edges(spark)[0])
-
-
-_ARROWS = "SELECT s.ord::BIGINT AS u, d.ord::BIGINT AS v, first_import, '    node_' || s.ord || ' --> node_' || d.ord AS line FROM edges JOIN tree s ON s.rel_path = src JOIN tree d ON d.rel_path = dst"
-
-
-@query(f"{_EDGES} {_ARROWS}")
-def mermaid_edges(spark, sf_dir):
-    return graph.flowchart_edges(*_edges(spark))
-
-
-@query(f"{_EDGES}, arrows AS ({_ARROWS}) SELECT 'graph TD' || chr(10) || (SELECT string_agg('    node_' || ord || '[\"' || rel_path || '\"]', chr(10) ORDER BY ord) FROM tree) || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY u, first_import) FROM arrows) AS mermaid")
-def mermaid_text(spark, sf_dir):
-    return graph.flowchart(*_edges(spark))
-
-
 @query(f"WITH {S.PAGES}, folders AS (SELECT DISTINCT folder FROM page_dirs WHERE folder <> '') SELECT p.folder AS src, l.imp AS dst, count(*) AS n_links FROM links l JOIN page_dirs p USING (page_id) JOIN folders f ON f.folder = l.imp WHERE p.folder <> l.imp GROUP BY ALL")
 def page_edges(spark, sf_dir):
     pages, links = S.page_modules(spark, sf_dir)
@@ -368,18 +358,19 @@ def file_lines(spark, sf_dir):
 # vectors
 
 
-def _query_vector(spark, sf_dir) -> list[float]:
-    found = S.table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").head()
-    return list(found.embedding) if found else []
+_COSINE = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+#: Every vector whose number is divisible by 100 is a question to all of them.
+_NEAR = f"SELECT q.vec_id AS query_id, e.vec_id, e.label, {_COSINE} AS exact FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q"
 
 
-_COSINE = "list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
-_NEAR = f"SELECT e.vec_id, e.label, {_COSINE} AS exact FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
+def _questions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    stored = S.table(spark, sf_dir, "embeddings").withColumn("ord", F.col("vec_id"))
+    return stored, stored.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
-@query(f"SELECT vec_id, round(exact, 6) AS similarity FROM ({_NEAR})")
+@query(f"SELECT query_id, vec_id, round(exact, 6) AS similarity FROM ({_NEAR})")
 def cosine_all(spark, sf_dir):
-    return vector.similarities(S.table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir)).select("vec_id", F.round("similarity", 6).alias("similarity"))
+    return vector.similarities_each(*_questions(spark, sf_dir)).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 _VECTORS = [([1.0, 0.0], [1.0, 0.0], 1.0), ([1.0, 0.0], [0.0, 1.0], 0.0), ([1.0, 1.0], [1.0, 0.0], 0.707107), ([0.0, 0.0], [1.0, 0.0], 0.0), ([1.0], [1.0, 0.0], 0.0), ([], [], 0.0), ([-2.0, 0.0], [1.0, 0.0], -1.0)]
@@ -392,16 +383,15 @@ def cosine_edge_cases(spark, sf_dir):
 
 
 def _top(spark, sf_dir):
-    stored = S.table(spark, sf_dir, "embeddings").withColumn("ord", F.col("vec_id"))
-    return vector.nearest(stored, _query_vector(spark, sf_dir), 5)
+    return vector.nearest_each(*_questions(spark, sf_dir), 5)
 
 
-_TOP = f"top AS (SELECT * FROM ({_NEAR}) ORDER BY exact DESC, vec_id LIMIT 5)"
+_TOP = f"top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, vec_id) AS place FROM ({_NEAR})) WHERE place <= 5)"
 
 
-@query(f"WITH {_TOP} SELECT vec_id, label, round(exact, 6) AS similarity FROM top")
+@query(f"WITH {_TOP} SELECT query_id, vec_id, label, round(exact, 6) AS similarity FROM top")
 def vector_topk(spark, sf_dir):
-    return _top(spark, sf_dir).select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+    return _top(spark, sf_dir).select("query_id", "vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
 _CITE = "'src/' || vec_id || '.py (Lines ' || (vec_id % 90 + 1) || '-' || (vec_id % 90 + 11) || ', Type: function)'"
@@ -418,13 +408,14 @@ def citations(spark, sf_dir):
     return _cited(S.table(spark, sf_dir, "embeddings")).select("vec_id", "cite")
 
 
-# the similarity is compared as a number: the engines round text differently
-@query(f"WITH {_TOP} SELECT vec_id, '--- Citation: ' || {_CITE} || ' (Similarity: ' AS head, CASE WHEN vec_id % 2 = 0 THEN '// Why annotation: w' || chr(10) ELSE '' END || 'chunk ' || vec_id || chr(10) AS tail FROM top")
+# the similarity is compared as a number within a unit of its last digit: the engines round text differently
+@query(f"WITH {_TOP} SELECT query_id, vec_id, '--- Citation: ' || {_CITE} || ' (Similarity: ' AS head, true AS shown, CASE WHEN vec_id % 2 = 0 THEN '// Why annotation: w' || chr(10) ELSE '' END || 'chunk ' || vec_id || chr(10) AS tail FROM top")
 def context_block(spark, sf_dir):
     why = F.when(F.col("vec_id") % 2 == 0, F.lit("w"))
     block = text.context_block(F.col("cite"), F.col("similarity"), why, F.concat(F.lit("chunk "), F.col("vec_id").cast("string")))
+    part = lambda k: F.regexp_extract("block", r"(?s)^(.*\(Similarity: )(-?\d\.\d{4})\) ---\n(.*)$", k)
     rows = _cited(_top(spark, sf_dir)).withColumn("block", block)
-    return rows.select("vec_id", F.regexp_extract("block", r"(?s)^(.*\(Similarity: )-?\d\.\d{4}\) ---\n(.*)$", 1).alias("head"), F.regexp_extract("block", r"(?s)^(.*\(Similarity: )-?\d\.\d{4}\) ---\n(.*)$", 2).alias("tail"))
+    return rows.select("query_id", "vec_id", part(1).alias("head"), (F.abs(part(2).cast("double") - F.col("similarity")) < 0.000051).alias("shown"), part(3).alias("tail"))
 
 
 _LINES = "string_agg('- ' || i.rel_path || ': ' || coalesce(summary, 'No summary available.'), chr(10) ORDER BY i.rel_path)"

@@ -130,6 +130,24 @@ def tree(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.sql(TREE_FILES_SQL), spark.sql(TREE_IMPORTS_SQL)
 
 
+def imports(files: DataFrame) -> DataFrame:
+    """(src, imp): what each file of the table imports, by its number: the next one by its bare name, one near it by its dotted name or
+    relative path, with something behind it or steps to and fro before it, one of another directory, and one that no file is."""
+    near, number = F.col("ord").bitwiseXOR(F.lit(3)).cast("string"), F.col("ord").cast("string")
+    folder = F.substring_index("rel_path", "/", 1)
+    after = (F.col("ord") + 1).cast("string")
+    far = [(F.col("ord") + 20 * k).cast("string") for k in (1, 2, 3)]
+    python = F.array(after, *far, F.concat(folder, F.lit("."), near), F.concat(folder, F.lit("."), after, F.lit(".deep")), F.lit("os"), F.concat(F.lit("src1."), near))
+    scripts = F.array(F.concat(F.lit("./"), near), *[F.concat(F.lit("./"), k) for k in far], F.concat(F.lit("./../"), folder, F.lit("//"), after), F.concat(F.lit("../src1/./"), after), F.lit("react"), F.concat(F.lit("./"), number))
+    return files.select(F.col("rel_path").alias("src"), F.explode(F.when(F.col("language") == "python", python).otherwise(scripts)).alias("imp"))
+
+
+#: The same over the inventory, numbered from 0.
+TABLE_FILES_SQL = "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, rel_path, language FROM inventory"
+TABLE_IMPORTS_SQL = """SELECT rel_path AS src, unnest(CASE WHEN language = 'python' THEN [(ord + 1)::VARCHAR, (ord + 20)::VARCHAR, (ord + 40)::VARCHAR, (ord + 60)::VARCHAR, dir || '.' || xor(ord, 3), dir || '.' || (ord + 1) || '.deep', 'os', 'src1.' || xor(ord, 3)]
+  ELSE ['./' || xor(ord, 3), './' || (ord + 20), './' || (ord + 40), './' || (ord + 60), './../' || dir || '//' || (ord + 1), '../src1/./' || (ord + 1), 'react', './' || ord] END) AS imp FROM inventory"""
+
+
 def page_modules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pages as modules: a page's folder is the first step of its address, its links are imports of folders."""
     pages = table(spark, sf_dir, "pages")

@@ -5,7 +5,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
-from sparkquarry.plans import catalog
+from sparkquarry.plans import catalog, stand_ins
 
 from .conftest import SMALL
 from .duck import same_rows
@@ -16,6 +16,26 @@ def test_query_equals_sql(spark, name):
     same_rows(spark, catalog.QUERIES[name], catalog.ORACLES[name], SMALL)
 
 
+@pytest.mark.parametrize("name", sorted(catalog.GRAPH))
+def test_graph_of_a_small_tree_equals_sql(spark, name):
+    """Rules of matching that the tables don't meet, on a tree made for them."""
+    sql = catalog.graph_sql("", stand_ins.TREE_FILES_SQL, stand_ins.TREE_IMPORTS_SQL)
+    same_rows(spark, lambda spark, _: catalog.GRAPH[name](*stand_ins.tree(spark)), sql[name], SMALL)
+
+
+def test_graph_over_tables_has_edges_of_both_kinds(spark):
+    found = catalog.QUERIES["edges"](spark, "/root/testdata/sf0.01").collect()
+    assert len(found) > 1000 and {r.src.rpartition(".")[2] for r in found} >= {"py", "js", "ts"}
+
+
+def test_questions_in_blocks(spark, monkeypatch):
+    from sparkquarry.operators import vector
+
+    whole = sorted(map(tuple, catalog.QUERIES["vector_topk"](spark, SMALL).collect()))
+    monkeypatch.setattr(vector, "BLOCK", 1)
+    assert sorted(map(tuple, catalog.QUERIES["vector_topk"](spark, SMALL).collect())) == whole
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 

@@ -55,10 +55,14 @@ def hashing(contents: DataFrame) -> Hashing:
 
 
 def blocks(text: Column) -> Column:
-    """The bytes of a text in pieces of BLOCK; the empty text has one empty block."""
-    raw = text.cast("binary")
-    last = F.greatest(F.floor((F.octet_length(text) - 1) / F.lit(BLOCK)), F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * BLOCK + 1, F.lit(BLOCK)))
+    """The bytes of a text in pieces of BLOCK; the empty text has one empty block. The text is bound to a variable: an
+    expression would be evaluated again for each block."""
+
+    def cut(raw: Column) -> Column:
+        last = F.greatest(F.floor((F.octet_length(raw) - 1) / F.lit(BLOCK)), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * BLOCK + 1, F.lit(BLOCK)))
+
+    return F.transform(F.array(text.cast("binary")), cut)[0]
 
 
 def pairs(names: Column) -> Column:
@@ -120,10 +124,10 @@ def _gathered(named: DataFrame) -> DataFrame:
     return checkpointed(held.select("of", F.transform("all", lambda x: x["name"]).alias("names")))
 
 
-def _shorts(docs: DataFrame, text: Column) -> Column:
-    """A text's blocks in short form, as an expression. Naming their hashes takes a job over all blocks."""
+def _shorts(docs: DataFrame, text: Column):
+    """What makes an expression of a text's blocks in short form. Telling their hashes apart takes a job over all blocks of `text`."""
     held = hashing(docs.select(F.explode(blocks(text)).alias("content")))
-    return F.transform(blocks(text), held.short)
+    return lambda text: F.transform(blocks(text), held.short)
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -141,7 +145,9 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows alike in id and text, which nothing tells apart, one stays. Long texts are read whole. An empty table gives an empty result.
     """
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    marked = docs.select(F.col(id_col).cast("long").alias("id"), _shorts(docs, text).alias("shorts"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+    shorts = _shorts(docs, text)
+    low = docs.select(F.col(id_col).cast("long").alias("id"), text.cast("binary").alias("low"))
+    marked = low.select("id", shorts(F.col("low")).alias("shorts"), F.sha2("low", 256).alias("text_sha256"))
     rows = checkpointed(marked.groupBy("shorts", "id", "text_sha256").agg(F.count("*").alias("copies")))
     groups = _groups(rows.select("id", "shorts", F.col("copies").alias("n")))
     found = looked_up(rows, groups, ["shorts"])
@@ -156,7 +162,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count, however long. An empty table stays empty. Columns of any name pass through untouched. What is looked up for a row is
     its id and short form: texts move only if the rows that go are too many to broadcast."""
     text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    own = _shorts(docs, text)
+    own = _shorts(docs, text)(text)
     rows = checkpointed(docs.select(F.col(id_col).cast("long").alias("id"), own.alias("shorts")).groupBy("shorts", "id").agg(F.count("*").alias("copies")))
     groups = _groups(rows.select("id", "shorts", F.col("copies").alias("n"))).where("n > 1")
     gone_id, gone_of, of, row = free_names(docs, "gone_id", "gone_of", "of", "row")

@@ -66,7 +66,7 @@ def test_contents_with_one_hash_have_different_names(spark, monkeypatch):
     monkeypatch.setattr(F, "xxhash64", lambda *columns: true(*columns) if all(isinstance(c, str) for c in columns) else F.lit(7).cast("long"))
     texts = ["abcdefgh", "abcdxxxx", "abcdefgh", "abcd", "xxxxabcd", "", "abcdefghabcd"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    shorts = docs.select("doc_id", blocks._shorts(docs, F.col("text")).alias("shorts"))
+    shorts = docs.select("doc_id", blocks._shorts(docs, F.col("text"))(F.col("text")).alias("shorts"))
     same = shorts.join(blocks.identified(shorts.select("shorts", F.lit(1).alias("n")).distinct()), "shorts")
     names = [r.same for r in same.orderBy("doc_id").collect()]
     assert [[a == b for a in names] for b in names] == [[a == b for a in texts] for b in texts]

@@ -14,6 +14,11 @@ TOKEN = re.compile(
 #: After these words a slash begins a pattern, and a brace or parenthesis an expression.
 BEFORE_VALUE = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "instanceof", "yield", "await", "else", "do"}
 CONTROL = {"if", "for", "while", "switch", "catch", "with", "function", "return", "await", "typeof", "new", "super", "import", "require"}
+#: Markup: whether a file has any, what opens and closes an element, an attribute and whether it has a value, what ends a text.
+TAGS = re.compile(r"</|/>")
+OPENED, CLOSED = re.compile(r"<(?:([A-Za-z_$][\w$.:-]*)|>)"), re.compile(r"</\s*([\w$.:-]*)\s*>")
+ATTRIBUTE = re.compile(r"[A-Za-z_$@][\w$.:-]*(\s*=\s*)?")
+BLANK, CHILD = re.compile(r"(?:\s+|/\*.*?\*/|//[^\n]*)+", re.S), re.compile(r"[<{]")
 PATTERN = re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-zA-Z]*")
 
 
@@ -26,37 +31,111 @@ class Token:
 
 
 def tokens(code: str) -> list[Token]:
-    """Names, numbers, strings, templates, patterns and marks; brackets know their partners."""
+    """Names, numbers, strings, templates, patterns and marks; brackets know their partners. An element of markup is a template too."""
     out: list[Token] = []
-    at, line = 0, 1
+    _scan(code, 0, 1, out, bool(TAGS.search(code)))
+    _pair(out)
+    return out
+
+
+def _value_before(out: list[Token]) -> bool:
+    if not out:
+        return False
+    last = out[-1]
+    return last.kind in ("number", "string", "template", "pattern") or last.kind == "name" and last.text not in BEFORE_VALUE or last.text in (")", "]", "}")
 
-    def value_before() -> bool:
-        if not out:
-            return False
-        last = out[-1]
-        return last.kind in ("number", "string", "template", "pattern") or last.kind == "name" and last.text not in BEFORE_VALUE or last.text in (")", "]", "}")
 
+def _scan(code: str, at: int, line: int, out: list[Token], markup: bool, inner: bool = False) -> tuple[int, int] | None:
+    """Appends tokens from a place on; (place, line) of the end, which for an inner scan is the brace that closes what surrounds it.
+    None if an inner scan finds no such brace."""
+    depth = 0
     while at < len(code):
         if code[at] == "`":
-            end, inner = _template(code, at)
+            end, held = _template(code, at)
             out.append(Token("template", code[at:end], line))
-            for start, stop in inner:  # what stands in a template's braces is code too
+            for start, stop in held:  # what stands in a template's braces is code too
                 shift = line + code.count("\n", at, start)
-                out += [Token("mark", "(", shift)] + [Token(t.kind, t.text, t.line + shift - 1) for t in tokens(code[start:stop])] + [Token("mark", ")", shift + code.count("\n", start, stop))]
+                out.append(Token("mark", "(", shift))
+                _scan(code[:stop], start, shift, out, markup)
+                out.append(Token("mark", ")", shift + code.count("\n", start, stop)))
             line += code.count("\n", at, end)
             at = end
             continue
-        if code[at] == "/" and code[at : at + 2] not in ("//", "/*") and not value_before() and (m := PATTERN.match(code, at)):
+        if code[at] == "/" and code[at : at + 2] not in ("//", "/*") and not _value_before(out) and (m := PATTERN.match(code, at)):
             out.append(Token("pattern", m[0], line))
             at = m.end()
             continue
+        if markup and code[at] == "<" and OPENED.match(code, at) and not _value_before(out):
+            before = len(out)
+            out.append(Token("template", "<>", line))
+            if found := _element(code, at, line, out):
+                at, line = found
+                continue
+            del out[before:]  # a comparison or a type
+        if inner and code[at] in "{}":
+            depth += 1 if code[at] == "{" else -1
+            if depth < 0:
+                return at, line
         m = TOKEN.match(code, at)
         if m.lastgroup not in ("space", "comment"):
             out.append(Token(m.lastgroup, m[0], line))
         line += m[0].count("\n")
         at = m.end()
-    _pair(out)
-    return out
+    return None if inner else (at, line)
+
+
+def _braced(code: str, at: int, line: int, out: list[Token]) -> tuple[int, int] | None:
+    """The code in braces within markup, in parentheses for what reads the tokens."""
+    out.append(Token("mark", "(", line))
+    if not (found := _scan(code, at + 1, line, out, True, True)):
+        return None
+    out.append(Token("mark", ")", found[1]))
+    return found[0] + 1, found[1]
+
+
+def _element(code: str, at: int, line: int, out: list[Token]) -> tuple[int, int] | None:
+    """(place, line) after an element of markup; its text is passed over, the code in its braces is scanned. None if it isn't closed as it should be."""
+    m = OPENED.match(code, at)
+    name, i = m[1] or "", m.end()
+    while name:  # attributes; a fragment has none
+        if m := BLANK.match(code, i):
+            line, i = line + m[0].count("\n"), m.end()
+        if code.startswith("/>", i):
+            return i + 2, line
+        if code.startswith(">", i):
+            i += 1
+            break
+        if code.startswith("{", i):
+            if not (found := _braced(code, i, line, out)):
+                return None
+            i, line = found
+            continue
+        if not (m := ATTRIBUTE.match(code, i)):
+            return None
+        line, i = line + m[0].count("\n"), m.end()
+        if not m[1]:
+            continue
+        if code.startswith("{", i):
+            found = _braced(code, i, line, out)
+        elif code[i : i + 1] in ("'", '"') and (end := code.find(code[i], i + 1)) > 0:
+            found = end + 1, line + code.count("\n", i, end)
+        else:
+            found = _element(code, i, line, out) if OPENED.match(code, i) else None
+        if not found:
+            return None
+        i, line = found
+    while m := CHILD.search(code, i):
+        line, i = line + code.count("\n", i, m.start()), m.start()
+        if code[i] == "{":
+            found = _braced(code, i, line, out)
+        elif m := CLOSED.match(code, i):
+            return (m.end(), line + m[0].count("\n")) if m[1] == name else None
+        else:
+            found = _element(code, i, line, out) if OPENED.match(code, i) else None
+        if not found:
+            return None
+        i, line = found
+    return None
 
 
 def _template(code: str, at: int) -> tuple[int, list[tuple[int, int]]]:

@@ -70,6 +70,7 @@ def _scan(code: str, at: int, line: int, out: list[Token], markup: bool, inner:
             out.append(Token("template", "<>", line))
             if found := _element(code, at, line, out):
                 at, line = found
+                out.append(Token("template", "</>", line))
                 continue
             del out[before:]  # a comparison or a type
         if inner and code[at] in "{}":

@@ -60,7 +60,7 @@ def wizard(settings: Settings, ask=input, secret=getpass.getpass) -> None:
     known = settings.get("provider")
     provider = (ask(f"AI provider (openai, anthropic, ollama) [{known}]: ").strip() or known).lower()
     if provider not in clients.MODELS:
-        raise Stopped(f"Unknown provider: {provider}")
+        raise Stopped(f"no service is called {provider}")
     default = settings.get("model") if provider == known else clients.MODELS[provider]
     model = ask(f"Model [{default}]: ").strip() or default
     key = url = ""
@@ -74,7 +74,7 @@ def wizard(settings: Settings, ask=input, secret=getpass.getpass) -> None:
         settings.set("api_key", key)
     if url:
         settings.set("api_url", url)
-    print(f"Configuration saved to {settings.path}")
+    print(f"Settings are in {settings.path}")
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, **engine) -> int:

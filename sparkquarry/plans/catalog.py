@@ -198,7 +198,7 @@ def blame_latest(spark, sf_dir):
     return history.blame_latest(S.symbols(spark, sf_dir), S.blame(spark, sf_dir), S.commits(spark, sf_dir)).select("rel_path", "ord", "sha", "author", "message", "date")
 
 
-@query(_LATEST + " SELECT rel_path, ord, CASE WHEN sha <> 'Unknown' THEN 'Last changed in commit ' || sha || ' by ' || author || ': ''' || message || '''' END AS why FROM latest")
+@query(_LATEST + " SELECT rel_path, ord, CASE WHEN sha <> 'Unknown' THEN author || ' changed this last, in ' || sha || ': ''' || message || '''' END AS why FROM latest")
 def why_annotation(spark, sf_dir):
     return chunks.annotated(history.blame_latest(S.symbols(spark, sf_dir), S.blame(spark, sf_dir), S.commits(spark, sf_dir))).select("rel_path", "ord", "why")
 
@@ -409,17 +409,17 @@ def citations(spark, sf_dir):
 
 
 # the similarity is compared as a number within a unit of its last digit: the engines round text differently
-@query(f"WITH {_TOP} SELECT query_id, vec_id, '--- Citation: ' || {_CITE} || ' (Similarity: ' AS head, true AS shown, CASE WHEN vec_id % 2 = 0 THEN '// Why annotation: w' || chr(10) ELSE '' END || 'chunk ' || vec_id || chr(10) AS tail FROM top")
+@query(f"WITH {_TOP} SELECT query_id, vec_id, '[' || {_CITE} || '] similarity ' AS head, true AS shown, CASE WHEN vec_id % 2 = 0 THEN 'Why: w' || chr(10) ELSE '' END || 'chunk ' || vec_id || chr(10) AS tail FROM top")
 def context_block(spark, sf_dir):
     why = F.when(F.col("vec_id") % 2 == 0, F.lit("w"))
     block = text.context_block(F.col("cite"), F.col("similarity"), why, F.concat(F.lit("chunk "), F.col("vec_id").cast("string")))
-    part = lambda k: F.regexp_extract("block", r"(?s)^(.*\(Similarity: )(-?\d\.\d{4})\) ---\n(.*)$", k)
+    part = lambda k: F.regexp_extract("block", r"(?s)^(\[.*?\] similarity )(-?\d\.\d{4})\n(.*)$", k)
     rows = _cited(_top(spark, sf_dir)).withColumn("block", block)
     return rows.select("query_id", "vec_id", part(1).alias("head"), (F.abs(part(2).cast("double") - F.col("similarity")) < 0.000051).alias("shown"), part(3).alias("tail"))
 
 
 _LINES = "string_agg('- ' || i.rel_path || ': ' || coalesce(summary, 'No summary available.'), chr(10) ORDER BY i.rel_path)"
-_PROMPTS = f"WITH {S.INVENTORY}, {S.SNAPSHOT}, prompts AS (SELECT dir, 'Module Directory: ' || dir || chr(10) || chr(10) || 'Child File Summaries:' || chr(10) || {_LINES} AS prompt FROM inventory i LEFT JOIN cache c ON c.key = i.rel_path AND c.sha256 = i.sha256 GROUP BY dir)"
+_PROMPTS = f"WITH {S.INVENTORY}, {S.SNAPSHOT}, prompts AS (SELECT dir, 'Directory: ' || dir || chr(10) || 'What its files are for:' || chr(10) || {_LINES} AS prompt FROM inventory i LEFT JOIN cache c ON c.key = i.rel_path AND c.sha256 = i.sha256 GROUP BY dir)"
 
 
 @query(_PROMPTS + " SELECT dir, prompt FROM prompts")
@@ -427,13 +427,13 @@ def module_prompt(spark, sf_dir):
     return cache.module_prompts(cache.with_summary(_hashed(spark, sf_dir), S.snapshot(_inventory(spark, sf_dir))))
 
 
-@query(f"WITH {S.INVENTORY}, {S.DIRECTORIES} SELECT 'Here are the module-level summaries for the codebase:' || chr(10) || chr(10) || string_agg('### Module: `' || dir || '`' || chr(10) || 'files: ' || n_files || chr(10), chr(10) ORDER BY dir) AS prompt FROM dirs")
+@query(f"WITH {S.INVENTORY}, {S.DIRECTORIES} SELECT 'What the modules of the system are for:' || chr(10) || chr(10) || string_agg('## `' || dir || '`' || chr(10) || 'files: ' || n_files || chr(10), chr(10) ORDER BY dir) AS prompt FROM dirs")
 def system_prompt(spark, sf_dir):
     dirs = cache.directory_hashes(_hashed(spark, sf_dir)).withColumn("summary", F.concat(F.lit("files: "), F.col("n_files").cast("string")))
     return cache.overview_prompt(dirs)
 
 
-@query(f"WITH {S.INVENTORY} SELECT rel_path, md5('File Path: ' || rel_path || chr(10) || chr(10) || 'Code Content:' || chr(10) || content) AS prompt_md5 FROM inventory")
+@query(f"WITH {S.INVENTORY} SELECT rel_path, md5('Path of the file: ' || rel_path || chr(10) || 'Its source:' || chr(10) || content) AS prompt_md5 FROM inventory")
 def file_prompt(spark, sf_dir):
     return _inventory(spark, sf_dir).select("rel_path", F.md5(text.file_prompt(F.col("rel_path"), F.col("content")).cast("binary")).alias("prompt_md5"))
 

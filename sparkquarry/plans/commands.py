@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import costs, errors, paths, text
 from ..operators import cache, chunks, graph, history, hotspots, inventory, vector
 from ..sources import clients, git, local, parse, reports, store
+from ..session import kept
 from ..sources.settings import Settings
 
 
@@ -63,10 +63,7 @@ class Engine:
 
     def _kept(self, table: DataFrame) -> DataFrame:
         """Cut off from its plan, so that parsers and services are not called again."""
-        context = self.spark.sparkContext
-        if not context._jsc.sc().getCheckpointDir().isDefined():
-            context.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-        return table.checkpoint()
+        return kept(table)
 
     def edges(self) -> DataFrame:
         imports = parse.imports(self.parsed).select(F.col("rel_path").alias("src"), F.col("import_name").alias("imp"))
@@ -80,26 +77,26 @@ class Engine:
     def scan(self, detailed: bool = False, with_ai: bool = False, budget: int | None = None, dry_run: bool = False) -> None:
         files = self.files.orderBy("ord").collect()
         if not files:
-            self.say("No supported files found (Python, JS, TS).")
+            self.say("Nothing to scan: no Python, JavaScript or TypeScript here.")
             return
-        self.say(f"Found {len(files)} source files:")
+        self.say(f"{len(files)} files")
         symbols, imports, failed = ({}, {}, {}) if not detailed else self._details()
         for f in files:
-            self.say(f"[{f.language.upper()}] {f.rel_path} ({f.size_bytes} bytes)")
+            self.say(f"{f.rel_path}: {f.language}, {f.size_bytes} bytes")
             if f.rel_path in failed:
-                self.say(f"  [ERROR] Parsing failed: {failed[f.rel_path]}")
-            for kind, title in (("class", "Classes"), ("function", "Functions")):
+                self.say(f"  can't be parsed: {failed[f.rel_path]}")
+            for kind, title in (("class", "classes"), ("function", "functions")):
                 if found := symbols.get((f.rel_path, kind)):
                     self.say(f"  {title}:")
                     for s in found:
-                        who = f' [Commit {s.sha} by {s.author}: "{s.message}"]' if s.sha != history.UNKNOWN else ""
-                        self.say(f"    - {s.name} (Lines {s.start_line}-{s.end_line}){who}")
+                        who = f", {s.author} in {s.sha}: {s.message}" if s.sha != history.UNKNOWN else ""
+                        self.say(f"    {s.name}, lines {s.start_line} to {s.end_line}{who}")
             if f.rel_path in imports:
-                self.say(f"  Imports: {', '.join(imports[f.rel_path])}")
-        self.say("Summary Stats:")
+                self.say(f"  imports: {', '.join(imports[f.rel_path])}")
+        self.say("In all")
         for r in inventory.language_counts(self.files).orderBy("first_ord").collect():
-            self.say(f"  * {r.language.capitalize()}: {r.n_files} files")
-        self.say(f"  * Total Code Size: {inventory.total_size(self.files).first().total_bytes} bytes")
+            self.say(f"  {r.language.capitalize()}: {r.n_files}")
+        self.say(f"  bytes: {inventory.total_size(self.files).first().total_bytes}")
         if with_ai or dry_run:
             self._scan_ai(len(files), budget, dry_run)
 
@@ -123,36 +120,36 @@ class Engine:
     def _scan_ai(self, n: int, budget: int | None, dry_run: bool) -> None:
         model = self.settings.get("model")
         cost = cache.scan_cost(self._texts(), self.cache.read(), model).first()
-        self.say("AI Cost Analysis:")
-        self.say(f"  * Provider: {self.settings.get('provider').upper()}")
-        self.say(f"  * Model: {model}")
-        self.say(f"  * Total Files to Process: {cost.uncached_files} (out of {n} total, {n - cost.uncached_files} cached)")
-        self.say(f"  * Estimated Uncached Tokens: {cost.input_tokens} input / {cost.output_tokens} output")
-        self.say(f"  * Estimated Run Cost: {costs.shown(cost.cost)}")
+        self.say("Summaries by a language model")
+        self.say(f"  service: {self.settings.get('provider')}")
+        self.say(f"  model: {model}")
+        self.say(f"  files: {cost.uncached_files} of {n}, the others are known")
+        self.say(f"  tokens: {cost.input_tokens} to read, about {cost.output_tokens} to write")
+        self.say(f"  price: about {costs.shown(cost.cost)}")
         if dry_run:
-            self.say("Dry-run only. No API requests will be performed.")
+            self.say("An estimate was asked for; no service is called.")
             return
         if not self._may_run(cost.cost, budget):
             return
-        if cost.uncached_files and self._agreed("Do you want to proceed with LLM processing?"):
+        if cost.uncached_files and self._agreed("Summarise these files?"):
             self._summarise_files()
         for r in cache.with_summary(self._texts(), self.cache.read()).where("summary IS NOT NULL").orderBy("ord").toLocalIterator():
-            self.say(f"\n* {r.rel_path}:\n  {r.summary}")
+            self.say(f"\n{r.rel_path}\n  {r.summary}")
 
     def _may_run(self, dollars: float, budget: int | None) -> bool:
         if self.generator is None and not self.settings.key() and self.settings.get("provider") != "ollama":
-            self.say(f"[ERROR] API key for {self.settings.get('provider')} not found. Please set the env var or run init.")
+            self.say(f"{self.settings.get('provider')} needs an API key: run init, or set its variable.")
             return False
         if budget is not None:
-            self.say(f"  * Budget Limit: {costs.shown(budget / 100)}")
+            self.say(f"  budget: {costs.shown(budget / 100)}")
             if costs.over_budget(dollars, budget):
-                self.say(f"[ABORTED] Estimated cost {costs.shown(dollars)} exceeds the budget of {costs.shown(budget / 100)}.")
+                self.say(f"Stopped: {costs.shown(dollars)} is more than the budget of {costs.shown(budget / 100)}.")
                 return False
         return True
 
     def _agreed(self, question: str) -> bool:
         if not self.confirm(question):
-            raise Stopped("Aborted.")
+            raise Stopped("not confirmed")
         return True
 
     def _service(self):
@@ -164,7 +161,7 @@ class Engine:
         self.cache.write(cache.upsert(self.cache.read(), made.where("error IS NULL").select("key", "sha256", "summary")))
         wrong = made.where("error IS NOT NULL")
         if first := wrong.orderBy("key").first():
-            self.say(f"  [ERROR] Summarization failed: {errors.advice(first.error, self.settings.get('provider'), self.settings.get('model'))}")
+            self.say(f"  no summary: {errors.advice(first.error, self.settings.get('provider'), self.settings.get('model'))}")
         return wrong.count() if first else 0
 
     def _summarise_files(self) -> int:
@@ -176,7 +173,7 @@ class Engine:
         mermaid = graph.flowchart(self.files, self.edges()).first().mermaid
         self.say(mermaid)
         if output:
-            self.say(f"Wrote dependency graph to {reports.write(output, reports.graph_page('Module Dependency Graph', mermaid))}")
+            self.say(f"The graph is in {reports.write(output, reports.graph_page('Modules and their imports', mermaid))}")
         return mermaid
 
     def hotspot_rows(self) -> DataFrame:
@@ -185,7 +182,7 @@ class Engine:
 
     def hotspots(self) -> None:
         if not git.top_level(self.root):
-            self.say("Warning: Not a git repository. Git churn statistics will not be available.")
+            self.say("There is no git history here, so churn is zero.")
         self.say(reports.hotspot_table(self.hotspot_rows().orderBy(*hotspots.report_order()).toLocalIterator()))
 
     def deadcode(self) -> None:
@@ -194,25 +191,25 @@ class Engine:
     def doc(self, with_ai: bool = False, budget: int | None = None, dry_run: bool = False) -> None:
         n = self.files.count()
         if not n:
-            self.say("No source files found.")
+            self.say("There are no source files here.")
             return
         docs = os.path.join(self.root, "docs")
         overview = os.path.join(docs, "architecture.md")
         model = self.settings.get("model")
         cost = cache.document_cost(self._texts(), self.cache.read(), model, os.path.exists(overview)).first()
-        self.say("Map-Reduce Summarization Cost Estimate:")
-        self.say(f"  * Uncached Files (Map): {cost.uncached_files} / {n}")
-        self.say(f"  * Uncached Modules (Reduce 1): {cost.uncached_dirs}")
-        self.say(f"  * Estimated Total Input Tokens: {cost.input_tokens}")
-        self.say(f"  * Estimated Total Output Tokens: {cost.output_tokens}")
-        self.say(f"  * Estimated Total Cost: {costs.shown(cost.cost)}")
+        self.say("Documentation by a language model")
+        self.say(f"  files to summarise: {cost.uncached_files} of {n}")
+        self.say(f"  directories to summarise: {cost.uncached_dirs}")
+        self.say(f"  tokens to read: {cost.input_tokens}")
+        self.say(f"  tokens to write: about {cost.output_tokens}")
+        self.say(f"  price: about {costs.shown(cost.cost)}")
         if dry_run:
-            self.say("Dry-run complete. No API calls made.")
+            self.say("An estimate was asked for; no service is called.")
             return
         if with_ai:
             if not self._may_run(cost.cost, budget):
                 return
-            self._agreed("Proceed with Map-Reduce AI documentation generation?")
+            self._agreed("Write the documentation?")
             self._document(overview)
         self._static(docs, overview)
 
@@ -231,7 +228,7 @@ class Engine:
             said = self._service().generate(cache.overview_prompt(modules).first().prompt, text.OVERVIEW_SYSTEM)
         except (RuntimeError, ValueError) as e:
             raise Stopped(errors.advice(str(e), self.settings.get("provider"), self.settings.get("model"))) from e
-        self.say(f"Wrote system architecture document to {reports.write(overview, said.strip())}")
+        self.say(f"The overview is in {reports.write(overview, said.strip())}")
 
     def _static(self, docs: str, overview: str) -> None:
         edges = self._kept(self.edges())
@@ -239,16 +236,16 @@ class Engine:
         dead = graph.unreferenced(self.files, edges)
         summarised = cache.with_summary(self._texts(), self.cache.read()).select("ord", "rel_path", "summary").orderBy("ord")
         pages = {
-            "dependency_graph.md": lambda: reports.graph_page("Dependency Graph", graph.flowchart(self.files, edges).first().mermaid),
+            "dependency_graph.md": lambda: reports.graph_page("Modules and their imports", graph.flowchart(self.files, edges).first().mermaid),
             "hotspots.md": lambda: reports.hotspot_page(hot.toLocalIterator()),
             "deadcode.md": lambda: reports.dead_page(r.rel_path for r in dead.toLocalIterator()),
             "index.md": lambda: reports.index_page(summarised.toLocalIterator(), os.path.exists(overview)),
         }
         for name, page in pages.items():
             try:
-                self.say(f"  * Wrote {reports.write(os.path.join(docs, name), page())}")
+                self.say(f"  {reports.write(os.path.join(docs, name), page())}")
             except OSError as e:
-                self.say(f"  [Warning] Failed to write {name}: {e}")
+                self.say(f"  {name} can't be written: {e}")
 
     # search
 
@@ -256,14 +253,14 @@ class Engine:
         return self.embedder or clients.Embedder(self.settings.get("provider"), self.settings.key())
 
     def chunk_rows(self) -> DataFrame:
-        """Chunks of all files with why they last changed, then the summaries, numbered in that order."""
+        """Chunks of all files with why they last changed, and the summaries. `ord` puts chunks by file, kind and place, and summaries last: it
+        is made of those numbers, so nothing is sorted to number it."""
         texts = self._texts().select("ord", "rel_path", "content")
         code = chunks.chunk_files(texts, parse.symbols(self.parsed)).join(self.files.select("rel_path", F.col("ord").alias("file")), "rel_path")
-        placed = Window.orderBy("file", "part", "ord")
-        numbered = code.withColumn("ord", F.row_number().over(placed).cast("long"))
+        numbered = code.withColumn("ord", F.shiftleft(F.col("file"), 34) + F.shiftleft(F.col("part").cast("long"), 32) + F.col("ord"))
         why = chunks.annotated(self.blamed(numbered)).drop("sha", "author", "message", "date")
         told = chunks.summary_chunks(cache.with_summary(self._texts(), self.cache.read())).join(self.files.select("rel_path", F.col("ord").alias("file")), "rel_path")
-        said = told.withColumn("ord", F.lit(1 << 40) + F.col("file")).withColumn("why", F.lit(None).cast("string"))
+        said = told.withColumn("ord", F.lit(1 << 62) + F.col("file")).withColumn("why", F.lit(None).cast("string"))
         columns = ["ord", "text", "rel_path", "type", "name", "start_line", "end_line", "why"]
         return why.select(*columns).unionByName(said.select(*columns))
 
@@ -276,32 +273,32 @@ class Engine:
         hashes = self._texts().select("rel_path", "sha256")
         embedded = self._kept(clients.embed_rows(self.chunk_rows(), self._embedder()))
         for r in embedded.where("embed_error IS NOT NULL").limit(5).collect():
-            self.say(f"Warning: Failed to index {r.rel_path}: {r.embed_error}")
+            self.say(f"{r.rel_path} is not indexed: {r.embed_error}")
         good = embedded.where("embed_error IS NULL").drop("embed_error").join(hashes, "rel_path")
         return self.index.write(good.select("ord", "text", "rel_path", "type", "name", "start_line", "end_line", "why", "embedding", "sha256")).count()
 
     def ask(self, question: str, rebuild: bool = False, k: int = 5) -> str | None:
         if self.embedder is None and not self.settings.key() and self.settings.get("provider") != "ollama":
-            self.say(f"[ERROR] API key for {self.settings.get('provider')} not found. Please set the env var or run init.")
+            self.say(f"{self.settings.get('provider')} needs an API key: run init, or set its variable.")
             return None
         if rebuild or self.index.read().isEmpty():
-            self.say(f"Successfully indexed {self.build_index()} chunks.")
+            self.say(f"The index holds {self.build_index()} chunks.")
         elif not self.stale().isEmpty():
-            self.say("Warning: files have changed since they were indexed; use --rebuild.")
+            self.say("The index is older than some files; --rebuild makes a new one.")
         try:
             near = vector.nearest(self.index.read(), self._embedder().embed(question), k)
             cite = text.citation(F.col("rel_path"), F.col("start_line"), F.col("end_line"), F.col("type"))
             rows = near.select("ord", "similarity", cite.alias("cite"), text.context_block(cite, F.col("similarity"), F.col("why"), F.col("text")).alias("block")).orderBy(F.desc("similarity"), "ord").collect()
             if not rows:
-                self.say("No relevant code chunks found.")
+                self.say("Nothing in the index is near the question.")
                 return None
             context = "\n".join(r.block for r in rows)
-            answer = self._service().generate(f"Relevant Codebase Context:\n\n{context}\n\nQuestion: {question}", text.ANSWER_SYSTEM)
+            answer = self._service().generate(f"Excerpts:\n\n{context}\n\nThe question: {question}", text.ANSWER_SYSTEM)
         except (RuntimeError, ValueError) as e:
             raise Stopped(errors.advice(str(e), self.settings.get("provider"), self.settings.get("model"))) from e
-        self.say("--- Answer ---")
+        self.say("Answer")
         self.say(answer)
-        self.say("--- Sources & Citations ---")
+        self.say("From")
         for r in rows:
-            self.say(f"- {r.cite}")
+            self.say(f"  {r.cite}")
         return answer

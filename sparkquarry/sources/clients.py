@@ -53,7 +53,7 @@ class Generator:
     def __init__(self, provider: str, key: str | None = None, model: str | None = None, send: Post = post):
         self.provider = provider_name(provider)
         if self.provider not in MODELS:
-            raise ValueError(f"Unknown LLM provider: {provider}")
+            raise ValueError(f"no service is called {provider}")
         self.model = model or MODELS[self.provider]
         self.send = send
         variable = {"openai": "OPENAI_API_KEY", "anthropic": "ANTHROPIC_API_KEY", "ollama": "OLLAMA_HOST"}[self.provider]
@@ -61,7 +61,7 @@ class Generator:
 
     def generate(self, prompt: str, system: str = "") -> str:
         if not self.key:
-            raise ValueError(f"API key for {self.provider} is missing.")
+            raise ValueError(f"{self.provider} needs an API key")
         limit = GENERATE_S[self.provider]
         if self.provider == "openai":
             messages = [{"role": "system", "content": system}] * bool(system) + [{"role": "user", "content": prompt}]
@@ -88,11 +88,11 @@ class Embedder:
     def embed(self, text: str) -> list[float]:
         if self.provider == "openai":
             if not self.key:
-                raise ValueError("API key for openai is missing.")
+                raise ValueError("openai needs an API key")
             return self.send("https://api.openai.com/v1/embeddings", {"Authorization": f"Bearer {self.key}"}, {"model": self.model, "input": text}, EMBED_S)["data"][0]["embedding"]
         if self.provider == "ollama":
             return self.send(f"{self.key or OLLAMA}/api/embeddings", {}, {"model": self.model, "prompt": text}, EMBED_S)["embedding"]
-        raise ValueError(f"Unsupported embedding provider: {self.provider}")
+        raise ValueError(f"{self.provider} offers no vectors")
 
 
 class OfflineGenerator:

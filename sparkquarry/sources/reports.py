@@ -6,20 +6,22 @@ import os
 from collections.abc import Iterable
 from pathlib import Path
 
-ENTRY, DEAD = "Potential Entry Point (Expected)", "Unreferenced (Likely Dead Code)"
+#: Fixed value: what stands for a missing summary.
+NONE = "*(No summary generated)*"
+ENTRY, DEAD = "entry point, so expected", "imported by no file"
 
 
 def hotspot_table(rows: Iterable) -> str:
     """Fixed columns of 40, 10, 6, 8, 7 and 19 characters."""
     form = "{:<40} | {:<10} | {:<6} | {:<8} | {:<7} | {:<19}"
-    head = form.format("File Path", "Complexity", "Churn", "Score", "Authors", "Last Modified")
+    head = form.format("File", "Complexity", "Churn", "Score", "Authors", "Last change")
     return "\n".join([head, "-" * 102, *(form.format(r.rel_path, r.complexity, r.churn, r.score, r.authors, r.last_modified) for r in rows)])
 
 
 def dead_table(rows: Iterable) -> str:
     form = "{:<50} | {:<25}"
     body = [form.format(r.rel_path, ENTRY if r.is_entrypoint else DEAD) for r in rows]
-    return "\n".join([form.format("File Path", "Status"), "-" * 80, *body]) if body else "No unreferenced files found!"
+    return "\n".join([form.format("File", "Why it stands here"), "-" * 80, *body]) if body else "Every file is imported by another."
 
 
 def graph_page(title: str, mermaid: str) -> str:
@@ -28,7 +30,7 @@ def graph_page(title: str, mermaid: str) -> str:
 
 def hotspot_page(rows: Iterable) -> str:
     body = "".join(f"| {r.rel_path} | {r.complexity} | {r.churn} | {r.score} | {r.authors} | {r.last_modified} |\n" for r in rows)
-    return "# Hotspots\n\nFiles by complexity × churn.\n\n| File | Complexity | Churn | Hotspot Score | Unique Authors | Last Modified |\n| --- | --- | --- | --- | --- | --- |\n" + body
+    return "# Hotspots\n\nFiles by complexity × churn.\n\n| File | Complexity | Churn | Score | Authors | Last change |\n| --- | --- | --- | --- | --- | --- |\n" + body
 
 
 def dead_page(names: Iterable[str]) -> str:
@@ -40,7 +42,7 @@ def index_page(rows: Iterable, has_overview: bool) -> str:
     """Every file with its summary; an empty summary counts as none."""
     overview = "- [System architecture](architecture.md)" if has_overview else "- System architecture: not generated; run `doc --with-ai`"
     links = ["- [Dependency graph](dependency_graph.md)", "- [Hotspots](hotspots.md)", "- [Unreferenced files](deadcode.md)"]
-    body = "\n".join(f"| `{r.rel_path}` | {r.summary or '*(No summary generated)*'} |" for r in rows)
+    body = "\n".join(f"| `{r.rel_path}` | {r.summary or NONE} |" for r in rows)
     return "# Documentation\n\n" + "\n".join([overview, *links]) + "\n\n## File summaries\n\n| File | Summary |\n| --- | --- |\n" + body + "\n"
 
 

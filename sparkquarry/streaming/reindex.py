@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import cache
+from ..session import kept
 from ..sources.store import Snapshot
 
 
@@ -26,10 +27,13 @@ def changed(versions: DataFrame, known: DataFrame) -> DataFrame:
 def start(stream: DataFrame, snapshot: Snapshot, derive: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Applies each micro-batch: only files with new content reach `derive`, which gives (key, sha256, summary).
 
-    A batch that is replayed after a failure finds its files known and changes nothing."""
+    What `derive` gives is kept before it is used, so a service behind it is called once for a row. A batch that is replayed after a
+    failure finds its files known and changes nothing."""
 
     def apply(batch: DataFrame, _: int) -> None:
         known = snapshot.read()
-        snapshot.write(cache.upsert(known, derive(changed(batch, known)).select("key", "sha256", "summary")))
+        fresh = kept(derive(changed(batch, known)).select("key", "sha256", "summary"))
+        if not fresh.isEmpty():
+            snapshot.write(cache.upsert(known, fresh))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

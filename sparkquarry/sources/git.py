@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import os
 import subprocess
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import arrow_map
+from ..session import arrow_map, shared_folder
 
 COMMIT_SCHEMA = "rel_path string, sha string, author_name string, author_email string, message string, committed timestamp_ntz, ord long"
 BLAME_SCHEMA = "rel_path string, line_no int, sha string"
-_MARK = "\x1e"
+#: Rows of a history that are written at once.
+ROWS = 50_000
 
 
 def _git(root: str, *args: str) -> str:
@@ -37,25 +39,41 @@ def _local(seconds: str, zone: str) -> datetime:
 
 
 def log(root: str) -> Iterator[tuple]:
-    """Rows of COMMIT_SCHEMA from one reading of the history of `root`, newest first; paths relative to `root`, so a
-    directory below the top level works too."""
-    form = _MARK + "%x1f".join(["%H", "%an", "%ae", "%ct", "%cd", "%B"]) + "%x1f"
-    out = _git(root, "log", "--relative", "--name-only", "--no-renames", "--date=format:%z", f"--format={form}", "--", ".")
-    for k, part in enumerate(out.split(_MARK)[1:]):
-        sha, name, email, seconds, zone, message, names = part.split("\x1f", 6)
-        for rel in dict.fromkeys(x for x in names.split("\n") if x):
-            yield rel, sha, name, email, message.strip("\n"), _local(seconds, zone), k
+    """Rows of COMMIT_SCHEMA from one reading of the history of `root`, newest first, as git writes it; paths relative to `root`, so a
+    directory below the top level works too. Of a merge, the files count that differ from all its parents, as they do in the history of a file.
+    Fields stand between marks made for this reading, which no message holds."""
+    mark = uuid.uuid4().hex
+    form = f"{mark}C" + f"{mark}F".join(["%H", "%an", "%ae", "%ct", "%cd", "%B", ""])
+    command = ["git", "-C", root, "log", "-z", "-c", "--relative", "--name-only", "--no-renames", "--date=format:%z", f"--format={form}", "--", "."]
+    with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:
+        for k, part in enumerate(_records(run.stdout, f"{mark}C".encode())):
+            sha, name, email, seconds, zone, message, names = part.decode("utf-8", "replace").split(f"{mark}F")
+            for rel in dict.fromkeys(x for x in names.lstrip("\n\0").split("\0") if x):
+                yield rel, sha, name, email, message.strip("\n"), _local(seconds, zone), k
+
+
+def _records(stream, mark: bytes) -> Iterator[bytes]:
+    """What stands behind each mark, without holding more than a part of the stream."""
+    held = b""
+    while block := stream.read(1 << 20):
+        *whole, held = (held + block).split(mark)
+        yield from (x for x in whole if x.strip(b"\n\0"))
+    if held.strip(b"\n\0"):
+        yield held
 
 
 def file_commits(spark: SparkSession, root: str) -> DataFrame:
-    """The history as a table; empty outside of a working tree or without commits."""
-    rows = []
-    if top_level(root):
-        try:
-            rows = list(log(root))
-        except subprocess.CalledProcessError:
-            rows = []
-    return spark.createDataFrame(rows, COMMIT_SCHEMA)
+    """The history as a table; empty outside of a working tree or without commits. It goes to the shared folder as it is read, ROWS at
+    a time, so the driver never holds it."""
+    none = spark.createDataFrame([], COMMIT_SCHEMA)
+    if not top_level(root):
+        return none
+    folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    rows, found = log(root), False
+    while part := list(islice(rows, ROWS)):
+        spark.createDataFrame(part, COMMIT_SCHEMA).write.mode("append").parquet(folder)
+        found = True
+    return spark.read.schema(COMMIT_SCHEMA).parquet(folder) if found else none
 
 
 def commits(found: DataFrame) -> DataFrame:
@@ -85,7 +103,3 @@ def blame(files: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(numbers, pa.int32()), pa.array(shas, pa.string())], ["rel_path", "line_no", "sha"])
 
     return arrow_map(files.select("rel_path"), batches, BLAME_SCHEMA)
-
-
-def exists() -> bool:
-    return any(os.access(os.path.join(p, "git"), os.X_OK) for p in os.environ.get("PATH", "").split(os.pathsep))

@@ -89,6 +89,30 @@ def test_history_and_hotspots(spark, repo):
     assert [(r.rel_path, r.churn) for r in below] == [("empty.py", 1)]
 
 
+def test_history_of_merges_and_odd_messages(spark, repo, monkeypatch):
+    """Merges count for files that differ from all parents; messages may hold any characters, and names too."""
+    run = lambda *a: subprocess.run(["git", "-C", repo, "-c", "user.name=M", "-c", "user.email=m@x", *a], check=True, capture_output=True)
+    main = subprocess.run(["git", "-C", repo, "branch", "--show-current"], check=True, capture_output=True, text=True).stdout.strip()
+    run("checkout", "-q", "-b", "side")
+    (repo / "utils.py").write_text("side = 1\n")
+    (repo / "api.js").write_text("side\n")
+    run("commit", "-qam", "Side \x1e with \x1f marks\n\nand\ttabs")
+    run("checkout", "-q", main)
+    (repo / "utils.py").write_text("main = 1\n")
+    (repo / "an odd \"name\" é.py").write_text("x = 1\n")
+    run("add", "-A")
+    run("commit", "-qm", "Main")
+    subprocess.run(["git", "-C", repo, "-c", "user.name=M", "-c", "user.email=m@x", "merge", "-q", "side"], capture_output=True)
+    (repo / "utils.py").write_text("both = 1\n")
+    run("commit", "-qam", "Merge")
+    monkeypatch.setattr(git, "ROWS", 3)
+    found = git.file_commits(spark, str(repo)).collect()
+    log = lambda name: subprocess.run(["git", "-C", repo, "log", "--format=%H", "--", name], check=True, capture_output=True, text=True).stdout.split()
+    for name in ("utils.py", "api.js", "main.py", "an odd \"name\" é.py"):
+        assert sorted(r.sha for r in found if r.rel_path == name) == sorted(log(name)), name
+    assert "Side \x1e with \x1f marks\n\nand\ttabs" in {r.message for r in found} and len({r.message for r in found if r.rel_path == "utils.py"}) == 5
+
+
 def test_no_repository(spark, tree):
     own = engine(spark, tree)
     assert not git.top_level(str(tree)) and {r.churn for r in own.hotspot_rows().collect()} == {0}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import kept as checkpointed  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -88,23 +89,3 @@ class Remembered:
     def trim(self) -> None:
         if 2 * self.held > self.most:
             self.old, self.young, self.held = self.young, {}, 0
-
-
-def shared_folder(session: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it. Without that setting, a local session takes a
-    temporary folder and a cluster one next to its warehouse."""
-    context = session.sparkContext
-    folder = session.conf.get("spark.checkpoint.dir", None)
-    if not folder and (given := context._jsc.sc().getCheckpointDir()).isDefined():
-        folder = given.get()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="checkpoint-") if context.master.startswith("local") else session.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder, so a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import arrow_map
 
 #: Dollars for a million input and output tokens.
 PRICES = {"gpt-4o-mini": (0.15, 0.60), "gpt-4o": (2.50, 10.00), "claude-3-5-sonnet-20241022": (3.00, 15.00), "claude-3-5-haiku-20241022": (0.80, 4.00), "llama3": (0.0, 0.0), "mistral": (0.0, 0.0)}
@@ -25,6 +29,20 @@ def count_tokens(text: str, tokenizer: Callable[[str], list] | None = None) -> i
     return len(tokenizer(text)) if tokenizer else len(text) // 4
 
 
+def with_tokens(files: DataFrame, tokenizer: Callable[[str], list], text_col: str = "content") -> DataFrame:
+    """Adds `tokens`, counted by a tokenizer in the tasks; null texts have none. The tokenizer travels to the workers, so it must be picklable: a function
+    that loads a vocabulary when it is first called, say."""
+    schema = T.StructType([*files.schema.fields, T.StructField("tokens", T.LongType())])
+    place = files.columns.index(text_col)
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            counts = [len(tokenizer(text)) if text else 0 for text in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], [*batch.schema.names, "tokens"])
+
+    return arrow_map(files, batches, schema)
+
+
 def price_table(spark: SparkSession) -> DataFrame:
     rows = ", ".join(f"('{m}', {a!r}D, {b!r}D)" for m, (a, b) in PRICES.items())
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t(model, input, output)")

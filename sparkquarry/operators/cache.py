@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import costs, paths, text
@@ -43,9 +43,14 @@ def directory_hashes(hashed: DataFrame) -> DataFrame:
     return grouped.select("dir", "n_files", F.sha2(joined.cast("binary"), 256).alias("sha256"))
 
 
+def _tokens(files: DataFrame) -> Column:
+    """The files' own column `tokens`, as a tokenizer counted them, or the estimate where there is none."""
+    return F.col("tokens") if "tokens" in files.columns else costs.tokens(F.col("content"))
+
+
 def scan_cost(hashed: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     """(uncached_files, input_tokens, output_tokens, cost) of the files that the cache misses."""
-    sums = misses(hashed, cache).agg(F.count("*").alias("uncached_files"), F.coalesce(F.sum(costs.tokens(F.col("content"))), F.lit(0)).cast("long").alias("input_tokens"))
+    sums = misses(hashed, cache).agg(F.count("*").alias("uncached_files"), F.coalesce(F.sum(_tokens(hashed)), F.lit(0)).cast("long").alias("input_tokens"))
     sums = sums.withColumn("output_tokens", costs.completion(F.col("input_tokens")))
     return sums.withColumn("cost", costs.dollars(F.col("input_tokens"), F.col("output_tokens"), model))
 
@@ -55,7 +60,7 @@ def document_cost(hashed: DataFrame, cache: DataFrame, model: str, overview_exis
     dirs = directory_hashes(hashed)
     names = ("uncached_files", "map_tokens", "uncached_dirs", "files_in_them", "n_dirs")
     parts = (
-        (misses(hashed, cache), {"uncached_files": F.lit(1), "map_tokens": costs.tokens(F.col("content"))}),
+        (misses(hashed, cache), {"uncached_files": F.lit(1), "map_tokens": _tokens(hashed)}),
         (misses(dirs, cache, "dir"), {"uncached_dirs": F.lit(1), "files_in_them": F.col("n_files")}),
         (dirs, {"n_dirs": F.lit(1)}),
     )

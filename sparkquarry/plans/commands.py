@@ -33,6 +33,7 @@ class Engine:
     generator: object | None = None
     embedder: object | None = None
     ignore: tuple[str, ...] | None = None
+    tokenizer: Callable[[str], list] | None = None
 
     # tables
 
@@ -117,9 +118,12 @@ class Engine:
     def _texts(self) -> DataFrame:
         return self.contents.select("ord", "rel_path", "sha256", F.coalesce("text", F.lit("")).alias("content"))
 
+    def _counted(self) -> DataFrame:
+        return costs.with_tokens(self._texts(), self.tokenizer) if self.tokenizer else self._texts()
+
     def _scan_ai(self, n: int, budget: int | None, dry_run: bool) -> None:
         model = self.settings.get("model")
-        cost = cache.scan_cost(self._texts(), self.cache.read(), model).first()
+        cost = cache.scan_cost(self._counted(), self.cache.read(), model).first()
         self.say("Summaries by a language model")
         self.say(f"  service: {self.settings.get('provider')}")
         self.say(f"  model: {model}")
@@ -196,7 +200,7 @@ class Engine:
         docs = os.path.join(self.root, "docs")
         overview = os.path.join(docs, "architecture.md")
         model = self.settings.get("model")
-        cost = cache.document_cost(self._texts(), self.cache.read(), model, os.path.exists(overview)).first()
+        cost = cache.document_cost(self._counted(), self.cache.read(), model, os.path.exists(overview)).first()
         self.say("Documentation by a language model")
         self.say(f"  files to summarise: {cost.uncached_files} of {n}")
         self.say(f"  directories to summarise: {cost.uncached_dirs}")

@@ -9,6 +9,7 @@ from hypothesis import given, settings as hyp, strategies as st
 
 from sparkquarry import cli
 from sparkquarry.functions import costs, errors
+from sparkquarry.operators import cache
 from sparkquarry.plans.commands import Engine, Stopped
 from sparkquarry.sources import clients, git, local, parse, reports, scripts, store
 from sparkquarry.sources.settings import Settings
@@ -138,6 +139,15 @@ def test_scan(spark, repo):
     assert "  files: 2 of 6, the others are known" in again.said
 
 
+def test_costs_with_a_tokenizer(spark, tree):
+    known = spark.createDataFrame([], store.CACHE_SCHEMA)
+    texts = engine(spark, tree, tokenizer=str.split)._counted()
+    words = sum(len(t.split()) for t in [r.content for r in texts.collect()])
+    assert cache.scan_cost(texts, known, "gpt-4o-mini").first().input_tokens == words
+    dirs = {os.path.dirname(r.rel_path) for r in texts.collect()}
+    assert cache.document_cost(texts, known, "gpt-4o", True).first().input_tokens == words + 150 * 6 + 150 * len(dirs)
+
+
 def test_doc(spark, repo):
     own = engine(spark, repo, generator=clients.OfflineGenerator())
     own.doc(with_ai=True)

@@ -28,20 +28,21 @@ def function_intervals(symbols: DataFrame, lines: DataFrame | None = None) -> Da
     """Functions that lie in no class and in no function before them in the file's order.
 
     Containment is transitive, so what an absorbed function would hide is hidden by what absorbs it, and the
-    earlier ones need no walk: an anti-join on the file, with the ranges tested on what meets there."""
+    earlier ones need no walk. Whatever contains a function begins before it, so a function that ends after all that begin before it
+    is outside at once; only the others, few in a file, are joined with what might contain them."""
     classes, functions = class_intervals(symbols, lines), _shown(symbols.where("kind = 'function'"), lines)
-    return _outside(functions.alias("a"), classes, functions)
-
-
-def _outside(own: DataFrame, classes: DataFrame, functions: DataFrame) -> DataFrame:
-    others = classes.select("rel_path", "start_line", "end_line", F.lit(-1).cast("long").alias("place")).unionByName(functions.select("rel_path", "start_line", "end_line", F.col("ord").cast("long").alias("place"))).alias("o")
+    every = classes.select("rel_path", "start_line", "end_line", F.lit(-1).cast("long").alias("place")).unionByName(functions.select("rel_path", "start_line", "end_line", F.col("ord").cast("long").alias("place")))
+    before = Window.partitionBy("rel_path").orderBy("start_line", F.desc("end_line"), "place").rowsBetween(Window.unboundedPreceding, -1)
+    doubtful = every.withColumn("reached", F.max("end_line").over(before)).where("place >= 0 AND reached >= end_line").alias("a")
+    other = every.alias("o")
     inside = (
         (F.col("a.rel_path") == F.col("o.rel_path"))
-        & (F.col("o.place") < F.col("a.ord"))
+        & (F.col("o.place") < F.col("a.place"))
         & (F.col("a.start_line") >= F.col("o.start_line"))
         & (F.col("a.end_line") <= F.col("o.end_line"))
     )
-    return own.join(others, inside, "left_anti").select("a.*")
+    absorbed = doubtful.join(other, inside, "left_semi").select("rel_path", F.col("place").alias("ord"))
+    return functions.join(absorbed, ["rel_path", "ord"], "left_anti")
 
 
 def gaps(intervals: DataFrame, n_lines: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from .common import Remembered, id_and_bytes, rows
 
 #: Bytes of pieces and counts that a worker remembers, what one costs besides its own, and the characters of the longest
 #: piece that is remembered.
-MEMO, COST, LONGEST = 120_000_000, 160, 64
+MEMO, COST, LONGEST = 200_000_000, 300, 64
 #: Pairs of tokens of which a worker remembers whether they can stand next to each other.
 PAIRS = 1_000_000
 #: The published split pattern of this family of vocabularies.

@@ -57,13 +57,19 @@ def total_size(spark, sf_dir):
     return inventory.total_size(_inventory(spark, sf_dir))
 
 
-_PATHS = [("a/b.PY", ".py"), (".py", ""), ("x/.hidden.js", ".js"), ("noext", ""), ("a.b/c", ""), ("a/b.tar.gz", ".gz"), ("..a.ts", ".ts"), ("d/build", ""), ("build/d.py", ".py")]
+#: Forms of paths, in which @ is a number: the extension, and whether a scan passes them over.
+_PATHS = (("a/b@.PY", ".py", False), (".py", "", False), ("x/.hidden@.js", ".js", False), ("noext@", "", False), ("a.b/c@", "", False), ("a/b@.tar.gz", ".gz", False), ("..a@.ts", ".ts", False), ("d/build", "", False), ("build/d@.py", ".py", True))
+_FORMS, _SUFFIXES, _PASSED = zip(*_PATHS)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{e}', '{p[: len(p) - len(e)].replace('/', '.')}', '{p.rpartition('/')[0] or '.'}', '{p.rpartition('/')[2]}', {str('build' in p.split('/')[:-1]).lower()})" for p, e in _PATHS) + ") AS t(path, ext, module, dir, base, is_ignored)")
+@query(
+    f"WITH forms AS (SELECT doc_id AS ord, replace({S.chosen_sql(_FORMS, 'doc_id')}, '@', doc_id::VARCHAR) AS path, {S.chosen_sql(_SUFFIXES, 'doc_id')} AS ext, {S.chosen_sql(_PASSED, 'doc_id')} AS is_ignored FROM documents)"
+    " SELECT ord, path, ext, replace(substr(path, 1, length(path) - length(ext)), '/', '.') AS module, coalesce(nullif(regexp_extract(path, '^(.*)/[^/]*$', 1), ''), '.') AS dir, regexp_extract(path, '([^/]*)$', 1) AS base, is_ignored FROM forms"
+)
 def path_functions(spark, sf_dir):
     p = F.col("path")
-    return spark.createDataFrame([(x,) for x, _ in _PATHS], "path string").select("path", paths.extension(p).alias("ext"), paths.module(p).alias("module"), paths.directory(p).alias("dir"), paths.basename(p).alias("base"), paths.ignored(p).alias("is_ignored"))
+    rows = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.replace(S.chosen(_FORMS, F.col("doc_id")), F.lit("@"), F.col("doc_id").cast("string")).alias("path"))
+    return rows.select("ord", "path", paths.extension(p).alias("ext"), paths.module(p).alias("module"), paths.directory(p).alias("dir"), paths.basename(p).alias("base"), paths.ignored(p).alias("is_ignored"))
 
 
 # cache and cost
@@ -132,11 +138,12 @@ def doc_cost(spark, sf_dir):
 
 
 _MODELS = [*costs.PRICES, "unknown-model", "GPT-4O"]
+_PRICED = [costs.PRICES.get(m, costs.OTHER) for m in _MODELS]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{m}', {costs.PRICES.get(m, costs.OTHER)[0]}::DOUBLE, {costs.PRICES.get(m, costs.OTHER)[1]}::DOUBLE)" for m in _MODELS) + ") AS t(model, input, output)")
+@query(f"SELECT event_id, {S.chosen_sql(_MODELS, 'event_id')} AS model, ({S.chosen_sql([p for p, _ in _PRICED], 'event_id')})::DOUBLE AS input, ({S.chosen_sql([p for _, p in _PRICED], 'event_id')})::DOUBLE AS output FROM events")
 def price_lookup(spark, sf_dir):
-    return costs.priced(spark.createDataFrame([(m,) for m in _MODELS], "model string"))
+    return costs.priced(S.table(spark, sf_dir, "events").select("event_id", S.chosen(_MODELS, F.col("event_id")).alias("model"))).select("event_id", "model", "input", "output")
 
 
 # history and hotspots
@@ -203,12 +210,16 @@ def why_annotation(spark, sf_dir):
     return chunks.annotated(history.blame_latest(S.symbols(spark, sf_dir), S.blame(spark, sf_dir), S.commits(spark, sf_dir))).select("rel_path", "ord", "why")
 
 
-_TOKENS = ["^abcdef1", "abcdef", "0123456789abcdef", "ABCDEF12", "xyz12345", "^^abcdef12", ""]
-
-
-@query("SELECT * FROM (VALUES ('^abcdef1', 'abcdef1'), ('abcdef', NULL), ('0123456789abcdef', '0123456789abcdef'), ('ABCDEF12', 'ABCDEF12'), ('xyz12345', NULL), ('^^abcdef12', NULL), ('', NULL)) AS t(token, sha)")
+@query(
+    "WITH t AS (SELECT event_id, event_id % 7 AS k, md5(event_id::VARCHAR) AS h FROM events)"
+    " SELECT event_id, CASE k WHEN 0 THEN '^' || substr(h, 1, 7) WHEN 1 THEN substr(h, 1, 6) WHEN 2 THEN upper(h) WHEN 3 THEN h || 'x' WHEN 4 THEN '^^' || h WHEN 5 THEN '' ELSE h END AS token,"
+    " CASE k WHEN 0 THEN substr(h, 1, 7) WHEN 2 THEN upper(h) WHEN 6 THEN h END AS sha FROM t"
+)
 def sha_tokens(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in _TOKENS], "token string").select("token", history.valid_sha(F.col("token")).alias("sha"))
+    h, k = F.md5(F.col("event_id").cast("string").cast("binary")), F.col("event_id") % 7
+    forms = (F.concat(F.lit("^"), F.substring(h, 1, 7)), F.substring(h, 1, 6), F.upper(h), F.concat(h, F.lit("x")), F.concat(F.lit("^^"), h), F.lit(""), h)
+    token = F.element_at(F.array(*forms), (k + 1).cast("int"))
+    return S.table(spark, sf_dir, "events").select("event_id", token.alias("token")).select("event_id", "token", history.valid_sha(F.col("token")).alias("sha"))
 
 
 # graph
@@ -279,20 +290,27 @@ QUERIES |= {name: _over_tables(build) for name, build in GRAPH.items()}
 ORACLES |= graph_sql(f"{S.INVENTORY}, ", S.TABLE_FILES_SQL, S.TABLE_IMPORTS_SQL)
 
 
-_STEPS = [("a/./b//c", "a/b/c"), ("a/../b", "b"), ("../a", "../a"), ("a/../../b", "../b"), ("./", "."), ("a/..", "."), ("a/b/../../..", ".."), ("../../x/..", "../..")]
+#: Steps to and fro behind a file's own directory, and nothing but steps.
+_STEPS = ("a/./b//c", "../b", "./../../x", "..//../..", "", ".", "a/..", "../../../../b/./..")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _STEPS) + ") AS t(path, normal)")
+@query(
+    f"WITH RECURSIVE {S.INVENTORY}, p AS (SELECT ord, CASE WHEN ord % 3 = 0 THEN '' ELSE dir || '/' END || {S.chosen_sql(_STEPS, 'ord')} AS path FROM inventory),"
+    " walk AS (SELECT ord, path, [x for x in string_split(path, '/') if x NOT IN ('', '.')] AS steps, []::VARCHAR[] AS done FROM p UNION ALL SELECT ord, path, steps[2:], CASE WHEN steps[1] = '..' AND len(done) > 0 AND done[-1] <> '..' THEN done[:len(done)-1] ELSE list_append(done, steps[1]) END FROM walk WHERE len(steps) > 0)"
+    " SELECT ord, path, coalesce(nullif(array_to_string(done, '/'), ''), '.') AS normal FROM walk WHERE len(steps) = 0"
+)
 def normpath(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _STEPS], "path string").select("path", paths.normalized(F.col("path")).alias("normal"))
+    before = F.when(F.col("ord") % 3 == 0, F.lit("")).otherwise(F.concat(paths.directory(F.col("rel_path")), F.lit("/")))
+    return _inventory(spark, sf_dir).select("ord", F.concat(before, S.chosen(_STEPS, F.col("ord"))).alias("path")).select("ord", "path", paths.normalized(F.col("path")).alias("normal"))
 
 
-_POINTS = [("src/Main.PY", True), ("index.js", True), ("index.ts", False), ("a/test_x.js", True), ("a/tests.py", False), ("main.py/x.py", False)]
+_POINTS = (("src/@/Main.PY", True), ("@/index.js", True), ("@/index.ts", False), ("a/test_@.js", True), ("a/@_tests.py", False), ("main.py/@.py", False), ("wsgi.py", True))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {str(e).lower()})" for p, e in _POINTS) + ") AS t(path, is_entrypoint)")
+@query(f"SELECT doc_id AS ord, replace({S.chosen_sql([p for p, _ in _POINTS], 'doc_id')}, '@', doc_id::VARCHAR) AS path, {S.chosen_sql([e for _, e in _POINTS], 'doc_id')} AS is_entrypoint FROM documents")
 def entrypoint_flag(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p, _ in _POINTS], "path string").select("path", paths.entry_point(F.col("path")).alias("is_entrypoint"))
+    rows = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.replace(S.chosen([p for p, _ in _POINTS], F.col("doc_id")), F.lit("@"), F.col("doc_id").cast("string")).alias("path"))
+    return rows.withColumn("is_entrypoint", paths.entry_point(F.col("path")))
 
 
 @query(f"WITH {S.PAGES}, folders AS (SELECT DISTINCT folder FROM page_dirs WHERE folder <> '') SELECT p.folder AS src, l.imp AS dst, count(*) AS n_links FROM links l JOIN page_dirs p USING (page_id) JOIN folders f ON f.folder = l.imp WHERE p.folder <> l.imp GROUP BY ALL")
@@ -441,36 +459,34 @@ def file_prompt(spark, sf_dir):
 _MESSAGES = [("Request TIMED OUT", "timeout"), ("read Timeout: Connection refused", "timeout"), ("connection refused", "other"), ("[Errno 111] Connection refused", "unreachable"), ("model 'x' not found", "missing_model"), ("Model not Found", "other"), ("error insufficient_quota", "quota"), ("model_not_found", "no_access"), ("the model does not exist", "no_access"), ("Incorrect API key provided", "bad_key"), ("", "other")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('" + m.replace("'", "''") + f"', '{k}')" for m, k in _MESSAGES) + ") AS t(message, kind)")
+@query(f"SELECT event_id, {S.chosen_sql([m for m, _ in _MESSAGES], 'event_id')} || ' (' || event_id || ')' AS message, {S.chosen_sql([k for _, k in _MESSAGES], 'event_id')} AS kind FROM events")
 def error_classifier(spark, sf_dir):
-    return spark.createDataFrame([(m,) for m, _ in _MESSAGES], "message string").select("message", errors.kind(F.col("message")).alias("kind"))
-
+    said = F.concat(S.chosen([m for m, _ in _MESSAGES], F.col("event_id")), F.lit(" ("), F.col("event_id").cast("string"), F.lit(")"))
+    return S.table(spark, sf_dir, "events").select("event_id", said.alias("message")).withColumn("kind", errors.kind(F.col("message")))
 
-# parsing: no SQL says what a syntax tree holds, so tests do
 
+# parsing: the tables hold no code, so each file gets some, of which SQL can say what it holds
 
-_SOURCES = [
-    ("a.py", "python", "import os\nfrom .x import y\n\nclass A:\n    def m(self):\n        if a and b or c:\n            pass\n        elif d:\n            return [i for i in z]\n\nasync def f():\n    try:\n        pass\n    except E:\n        x = 1 if y else 2\n"),
-    ("b.js", "javascript", "import x from './x';\nconst r = require(\"./r\");\nclass B extends C {\n  go(a) { if (a && b) { return a ? 1 : 2; } else if (c) { } }\n}\nconst f = (x) => { switch (x) { case 1: break; default: } };\n"),
-    ("c.ts", "typescript", "export class T<U> { run(): void { for (const x of y) { while (z ?? 1) {} } } }\nexport async function load(p: string): Promise<void> { try { await import('./m'); } catch (e) {} }\n"),
-]
 
+def _parsed(spark, sf_dir):
+    return parse.parse_files(S.code(_inventory(spark, sf_dir)))
 
-def _parsed(spark):
-    rows = spark.createDataFrame([(k, p, lang, code.encode()) for k, (p, lang, code) in enumerate(_SOURCES)], "ord long, rel_path string, language string, content binary")
-    return parse.parse_files(rows)
 
-
-@query()
+@query(
+    f"WITH {S.INVENTORY}, {S.CODE}, f AS (SELECT *, unnest(range(n)) AS j FROM coded)"
+    " SELECT rel_path, 'function' AS kind, j AS ord, 'f' || j AS name, (first + step * j)::INTEGER AS start_line, (first + step * j + 3)::INTEGER AS end_line FROM f"
+    " UNION ALL SELECT rel_path, 'function', n, 'm', (first + step * n + 1)::INTEGER, (first + step * n + 1 + py::INTEGER)::INTEGER FROM coded"
+    " UNION ALL SELECT rel_path, 'class', 0, 'C' || ord, (first + step * n)::INTEGER, (first + step * n + 2)::INTEGER FROM coded"
+)
 def ast_symbols(spark, sf_dir):
-    return parse.symbols(_parsed(spark))
+    return parse.symbols(_parsed(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {S.INVENTORY}, {S.CODE} SELECT rel_path, unnest(CASE WHEN py THEN ['os', 'pkg' || ord] ELSE ['./f' || ord, 'pkg' || ord] END) AS import_name FROM coded")
 def ast_imports(spark, sf_dir):
-    return parse.imports(_parsed(spark))
+    return parse.imports(_parsed(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {S.INVENTORY}, {S.CODE} SELECT rel_path, (1 + n * CASE WHEN py THEN 2 ELSE 3 END)::INTEGER AS complexity FROM coded")
 def ast_complexity(spark, sf_dir):
-    return _parsed(spark).select("rel_path", "complexity")
+    return _parsed(spark, sf_dir).select("rel_path", F.col("complexity").cast("int").alias("complexity"))

@@ -110,6 +110,36 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLAME = """blame AS (SELECT json_extract_string(props, '$.k') AS rel_path, (event_id % 200 + 1)::INTEGER AS line_no, event_id FROM events),
   known AS (SELECT event_id, user_id::VARCHAR AS author, event_type AS message, ts FROM events WHERE event_id % 11 <> 0)"""
 
+def chosen(values, number) -> F.Column:
+    """One of some literals, by a row's number."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
+
+
+def chosen_sql(values, number: str) -> str:
+    shown = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return f"[{', '.join(map(shown, values))}][{number} % {len(values)} + 1]"
+
+
+def code(inventory: DataFrame) -> DataFrame:
+    """The inventory with source code for content: imports, up to three functions with decisions, a class with a method; how many depends on
+    the file's number."""
+    number = F.col("ord").cast("string")
+
+    def written(head: list, block: str, tail: list) -> F.Column:
+        part = lambda j: F.replace(F.lit(block), F.lit("@"), j.cast("string"))
+        inner = F.when(F.col("ord") % 4 > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("ord") % 4 - 1), part), "")).otherwise(F.lit(""))
+        return F.concat(*head, inner, *tail)
+
+    python = written([F.lit("import os\nfrom pkg"), number, F.lit(" import z\n\n")], "def f@(x):\n    if x and y:\n        return 1\n    return 2\n\n", [F.lit("class C"), number, F.lit(":\n    def m(self):\n        return 0\n")])
+    head = [F.lit("import a from './f"), number, F.lit("';\nconst r = require(\"pkg"), number, F.lit("\");\n")]
+    tail = [F.lit("class C"), number, F.lit(" {\n  m() { return 0; }\n}\n")]
+    scripts = {kind: written(head, f"function f@(x{kind}){kind} {{\n  if (x && y) {{ return 1; }}\n  return x ? 1 : 2;\n}}\n", tail) for kind in ("", ": number")}
+    held = F.when(F.col("language") == "python", python).when(F.col("language") == "javascript", scripts[""]).otherwise(scripts[": number"])
+    return inventory.withColumn("content", held)
+
+
+CODE = """coded AS (SELECT ord, rel_path, ord % 4 AS n, CASE language WHEN 'python' THEN 4 ELSE 3 END AS first, CASE language WHEN 'python' THEN 5 ELSE 4 END AS step, language = 'python' AS py FROM inventory)"""
+
 #: A small tree for rules of matching, the same for both engines: path, language, and its imports.
 TREE = (
     ("app/index.ts", "typescript", ("./util", "../lib/core", "./missing", "react")), ("app/util.js", "javascript", ("../app/index", "./../app//util")), ("app/util.ts", "typescript", ()), ("cli.py", "python", ("pkg.core", "os", "osquery", ".local", "pkg")),

@@ -33,6 +33,8 @@ ANCHOR = 32
 LOCAL, MANY = 8, 2_000
 #: Rows that share an id are told apart by a number above the bits of the position.
 ROW_BITS = 40
+#: From here on stand the rows without an id, spread by their texts.
+NAMELESS = 1 << 62
 #: Positions hashed at once, and runs, or single strings, gathered before they are handed on.
 BLOCK, RUNS = 1 << 19, 1 << 20
 #: Places per shuffle partition at least, and bytes of text to a place: more text takes more places, not larger ones.
@@ -445,13 +447,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row, from whole texts as bytes.
 
     A byte goes if a string of LENGTH bytes over it also starts earlier: in a row of a smaller id, or before it in
-    the same row. Null texts are empty. Rows without an id come after all others. Of rows that share an
-    id, those with other texts are told apart by the order of the texts; rows alike in id and text are one document, each with
-    its result. An empty table gives an empty result.
+    the same row. Null texts are empty. Rows without an id come after all others (whose ids are below 2^62), in the order of a hash of
+    their texts. Of rows that share an id, those with other texts are told apart by the order of the texts, up to 2^23 of them; rows alike in
+    id and text are one document, each with its result. An empty table gives an empty result.
     """
     session = docs.sparkSession
     ship(session)
-    raw = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("binary").alias("text"))
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS)
+    raw = docs.select(F.coalesce(F.col(id_col).cast("long"), hashed).alias("id"), F.col(id_col).cast("long").alias("own"), F.col(text_col).cast("binary").alias("text"))
     held = raw.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).agg(F.max("n").alias("most"), F.sum("bytes").alias("bytes")).first()
     places = max(PLACES * int(session.conf.get("spark.sql.shuffle.partitions")), -(-(held.bytes or 0) // PLACE_BYTES))
     if (held.most or 0) > 1:

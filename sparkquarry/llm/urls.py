@@ -63,7 +63,7 @@ def lexical(pages: DataFrame, url_col: str) -> DataFrame:
         "hyphens": F.regexp_count(host, F.lit("-")).cast("double"), "depth": F.regexp_count(path, F.lit("/[^/]")).cast("double"), "path_length": F.length(path).cast("double"),
         "digit_ratio": digits(url) / F.greatest(F.length(url), F.lit(1)), "host_digits": digits(host), "entropy": entropy(url),
         "parameters": F.when(query == "", 0.0).otherwise(F.regexp_count(query, F.lit("&")) + 1.0),
-        "suffix": F.regexp_extract(host, r"[^.]*$", 0), "domain": F.regexp_extract(host, r"[^.]*\.?[^.]*$", 0),
+        "suffix": F.substring_index(host, ".", -1), "domain": F.substring_index(host, ".", -2),
     })
 
 

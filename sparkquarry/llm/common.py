@@ -81,6 +81,10 @@ class Remembered:
         self.young[key] = value
         self.held += len(key) + len(value) + self.cost
 
+    def keep_all(self, found: dict[str, bytes]) -> None:
+        self.young.update(found)
+        self.held += sum(map(len, found)) + sum(map(len, found.values())) + self.cost * len(found)
+
     def older(self, key: str) -> bytes | None:
         if (value := self.old.get(key)) is not None:
             self.keep(key, value)

@@ -88,7 +88,8 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     of one size in all dimensions would have to be joined with their neighbours: 545 of them within a distance of 2 over 16
     segments of four bits.) The join keeps what is within
     the Manhattan bound, then compares the bits themselves. A fingerprint has a bounded number of others
-    within the distance, so links grow in proportion to the fingerprints however dense a group is.
+    within the distance, so links grow in proportion to the fingerprints however dense a group is. The hint is needed: Spark takes
+    exploded cells to be no more than the fingerprints, and would broadcast 28 times what it allows.
     """
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("slabs"), F.col("counts").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(slab_masks(distance))]))
     dealt = distinct.select("fp", counts_in_unary(F.col("fp")).alias("counts")).select("fp", "counts", cells.alias("at")).select("fp", "counts", "at.slabs", "at.cell")
@@ -100,7 +101,7 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
         & (F.bit_count(F.col("one.counts").bitwiseXOR(F.col("two.counts"))) <= distance)
         & (F.bit_count(F.col("one.fp").bitwiseXOR(F.col("two.fp"))) <= distance)
     )
-    return one.join(two, near).select(F.col("one.fp").alias("a"), F.col("two.fp").alias("b")).distinct()
+    return one.hint("merge").join(two, near).select(F.col("one.fp").alias("a"), F.col("two.fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:

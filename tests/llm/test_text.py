@@ -84,6 +84,14 @@ def test_links_lose_nothing(spark):
     assert {tuple(r) for r in found} == expected
 
 
+def test_cells_are_not_broadcast(spark):
+    """At any size: a broadcast of cells is many times what Spark takes it for, and the driver has to hold it."""
+    near = simhash.links(spark.createDataFrame([(1,), (3,), (255 << 40,)], "fp long"))
+    assert [tuple(r) for r in near.collect()] == [(1, 3)]
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan.split("Initial Plan")[0]
+
+
 def test_components_of_a_long_chain(spark):
     from sparkquarry.llm.components import connected_components
 

@@ -29,8 +29,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts linked by a similarity of 0.8 on five-word shingles, the document with the smallest id. Texts without words, null
-    ones too, are alike; rows without an id come last; of rows alike in id and text one stays."""
+    """Of each component of texts linked by a similarity of 0.8 on five-word shingles, the document with the smallest id. Texts meet in the grid of their
+    SimHash fingerprints, and by minima where that doesn't reach; then their whole sets are compared. Texts without words, null ones too, are alike; rows without an id come last; of rows alike in id and text one stays."""
     return shingles.drop_similar(docs)
 
 

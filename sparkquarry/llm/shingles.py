@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of word shingles: cells of equal minima, then the whole sets."""
+"""Near copies by the Jaccard similarity of word shingles: cells of SimHash fingerprints, cells of equal minima for what is
+further apart than these reach, then the whole sets."""
 
 from __future__ import annotations
 
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 from ..session import arrow_map
 from .common import checkpointed, keep_first, rows, text_key
 from .components import connected_components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, grid_cells, majority, shingle_hashes
 
 WIDTH = 5
 #: Sets are near at 4/5 or more, compared in whole numbers.
 LEAST, OF = 4, 5
+#: Fingerprints of sets that differ in so many bits at most share a cell of the grid for certain. Sets at 4/5 differ in 10 bits in the
+#: mean; a grid for as many would put most of a large corpus into each other's cells, so minima find what the grid doesn't.
+DISTANCE = 2
 #: BANDS cells of DEPTH minima each: two sets at 4/5 share no cell with a chance of (1 - 0.8^4)^32, 5 in 100 million.
 BANDS, DEPTH = 32, 4
 #: Of 128 minima, 102 agree in the mean at 4/5, give or take 4.5: pairs with fewer than this are not compared.
@@ -63,15 +67,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id, key, node, n, cells) of every row: the name of its set, how many shingles it has, and its cells."""
+    """(id, key, node, n, fp, cells) of every row: the name of its set, how many shingles it has, the SimHash fingerprint of the
+    set, each shingle once, and the cells of its minima."""
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             sets = [shingle_set(text, width) for *_, text in rows(batch)]
-            nodes, cells = [name_of(x) for x in sets], [cells_of(minima(x)) for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(cells, pa.list_(pa.int64()))], ["id", "key", "node", "n", "cells"])
+            nodes, fps, cells = [name_of(x) for x in sets], [majority(x) for x in sets], [cells_of(minima(x)) for x in sets]
+            columns = [pa.array(nodes, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(fps, pa.int64()), pa.array(cells, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "key", "node", "n", "fp", "cells"])
 
-    return arrow_map(_keyed(docs, id_col, text_col), batches, "id long, key long, node long, n long, cells array<long>")
+    return arrow_map(_keyed(docs, id_col, text_col), batches, "id long, key long, node long, n long, fp long, cells array<long>")
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
@@ -118,13 +124,14 @@ def _compare(group: pa.Table) -> pa.Table:
 def links(docs: DataFrame, marked: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(a, b) of nodes that are near, enough of them that chains reach whatever a chain of all would reach.
 
-    Nodes meet in cells. Cells of the same members are one. Sets are fetched for what is not alone in its cells, and
-    each cell's are compared block by block in the workers, so that a dense group gives links in proportion to its
-    members and never a row a pair.
+    Nodes meet in the cells of the grid of fingerprints and in those of minima. Cells of the same members are one. Sets are fetched for
+    what is not alone in its cells, and each cell's are compared block by block in the workers, so that a dense group gives links in
+    proportion to its members and never a row a pair. Differing bits are not counted: the sets themselves say what is near.
     """
-    nodes = marked.groupBy("node").agg(F.min("key").alias("key"), F.any_value("n").alias("shingles"), F.any_value("cells").alias("cells"))
-    entries = nodes.select("node", "shingles", F.explode("cells").alias("cell"))
-    crowded = entries.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("mix"))
+    nodes = marked.groupBy("node").agg(F.min("key").alias("key"), F.any_value("n").alias("shingles"), F.any_value("fp").alias("fp"), F.any_value("cells").alias("cells"))
+    entries = nodes.select("node", "shingles", F.explode(F.concat("cells", grid_cells(F.col("fp"), DISTANCE))).alias("cell"))
+    entries = entries.where("cell IS NOT NULL").repartition("cell")  # moved once, for the counts and for the members, which take the same columns
+    crowded = entries.groupBy("cell").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node", "shingles")).alias("mix"))
     crowded = crowded.where("n > 1").groupBy("n", "low", "high", "mix").agg(F.min("cell").alias("cell")).select("cell", "n")
     members = checkpointed(entries.join(crowded, "cell").select("cell", "n", "node", "shingles"))
     needed = members.select("node").distinct().join(nodes.select("node", "key"), "node").select("key").distinct()

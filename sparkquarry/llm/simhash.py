@@ -38,9 +38,11 @@ def shingle_hashes(text: bytes | None, width: int) -> list[int]:
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
     """64-bit SimHash of the word shingles of a whole text."""
-    hashes = shingle_hashes(text, width)
-    if not hashes:
-        return 0
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: list[int] | np.ndarray) -> int:
+    """The bits that over half the hashes have; none without hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = np.array(hashes[at : at + (1 << 16)], dtype=">u8").view(np.uint8).reshape(-1, 8)
@@ -81,6 +83,12 @@ def slab_masks(distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def grid_cells(fp: Column, distance: int) -> Column:
+    """The names of a fingerprint's cells in the grid. Fingerprints within the distance share one at least."""
+    counts = counts_in_unary(fp)
+    return F.array(*[F.xxhash64(F.lit(k), counts.bitwiseAND(F.lit(m))) for k, m in enumerate(slab_masks(distance))])
+
+
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     """(a, b) of all distinct fingerprints `fp` that differ in up to `distance` bits, a < b.
 

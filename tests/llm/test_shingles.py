@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkquarry.llm import shingles
@@ -62,6 +63,19 @@ def test_edited_copies_equal_brute_force(spark, monkeypatch):
     assert kept(spark, texts) == expected
 
 
+def test_fingerprints_find_near_sets(spark):
+    """Sets that share no cell of minima meet by their SimHash fingerprints; only those that are near are linked."""
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(["x", *words]), " ".join(words[:1500]), "a b c", "d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = shingles.sketches(docs).withColumn("cells", F.array(F.xxhash64("node")))
+    ids = {r.node: r.id for r in marked.collect()}
+    bits = {r.id: r.fp for r in marked.collect()}
+    assert all(((bits[0] ^ bits[k]) & (1 << 64) - 1).bit_count() <= shingles.DISTANCE for k in (1, 2))
+    found = [{ids[r.a], ids[r.b]} for r in shingles.links(docs, marked).collect()]
+    assert set().union(*found) == {0, 1, 2}
+
+
 def test_minima_lose_no_pair():
     rng = np.random.default_rng(4)
     for _ in range(2000):

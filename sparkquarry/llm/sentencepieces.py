@@ -32,8 +32,8 @@ UNIGRAM, BPE = 1, 2
 #: Bytes of words and ids that a worker remembers, what one costs besides its own, and the characters of the longest word that
 #: is remembered: scripts without blanks have words as long as texts.
 MEMO, COST, LONGEST = 90_000_000, 190, 64
-#: One word in so many, by its checksum, is held against the SentencePiece library when it is new.
-VERIFY = 16
+#: One word in so many, by its checksum, is held against the SentencePiece library when it is new: every one.
+VERIFY = 1
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -117,8 +117,9 @@ class Different(ValueError):
 class Codec:
     """Encodes texts word by word: no piece has the marker after another character, so pieces never reach
     over the start of a word and a word's ids don't depend on its neighbours. New words of a batch are
-    encoded together, on the library's threads, and remembered. All ids are those of the rebuilt model; of one new word
-    in `verify` they are compared with the SentencePiece library, and a difference is an error."""
+    encoded together, on the library's threads, and remembered. All ids are those of the rebuilt model; those of one new word
+    in `verify` are compared with the SentencePiece library's, and a difference is an error. Only a marker alone can't be, as the
+    library puts the first one itself."""
 
     def __init__(self, path: str, verify: int = VERIFY):
         self.model = Model(path)
@@ -143,11 +144,11 @@ class Codec:
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of new words; those that are not too long are remembered."""
-        checked = [w for w in words if not zlib.crc32(w.encode()) % self.verify and self._bare(w)]
-        expected = dict(zip(checked, self.native.encode(list(map(self._bare, checked)), num_threads=1), strict=True))
         found = {}
         for at in range(0, len(words), BATCH):
             part = words[at : at + BATCH]
+            checked = [w for w in part if not zlib.crc32(w.encode()) % self.verify and self._bare(w)]
+            expected = dict(zip(checked, self.native.encode(list(map(self._bare, checked)), num_threads=1), strict=True))
             for word, encoding in zip(part, self.library.encode_batch_fast([w.replace(" ", SPACE) for w in part], add_special_tokens=False), strict=True):
                 ids = encoding.ids
                 if word in expected and expected[word] != ids:

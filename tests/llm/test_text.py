@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -275,6 +276,18 @@ def test_a_broken_backend_is_caught(monkeypatch):
         list(broken.encode([" ".join(f"{a}{b}{c}" for a in ("inter", "trans", "re", "con", "de") for b in ("ac", "la", "na", "duc", "mo", "vo", "sta") for c in ("tion", "tional", "ting", "ted", "tive"))]))
 
 
+def test_every_new_word_is_held_against_the_library():
+    class Off:
+        def encode_batch_fast(self, words, add_special_tokens):
+            return [SimpleNamespace(ids=[7]) for _ in words]
+
+    broken = sentencepieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    broken.library = Off()
+    for word in "one of these words after another is encoded by a library that is wrong about all".split():
+        with pytest.raises(sentencepieces.Different):
+            list(broken.encode([word]))
+
+
 def test_words_without_blanks_are_not_remembered():
     own = sentencepieces.Codec(public_tokenizers.path("piece_bpe_32k.model"), verify=1)
     native = own.native
